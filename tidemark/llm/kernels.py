@@ -154,3 +154,10 @@ def shingle_sets(body: np.ndarray, at: np.ndarray, n: int, separators: np.ndarra
     new[1:] = (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])
     grams, rows = grams[new], rows[new]
     return grams, np.searchsorted(rows, np.arange(len(at)))
+
+
+def code_points(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all rows, row offsets in them, and the byte at which each begins (one more at the end)."""
+    lead = np.flatnonzero((body & 0xC0) != 0x80)
+    points = np.frombuffer(body.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.searchsorted(lead, at), np.append(lead, len(body))
