@@ -86,8 +86,8 @@ def apportion(shards: DataFrame, block: int = BLOCK) -> DataFrame:
     return won
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """id_col, size, source_size, target, taken for every row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, size, source_size, target, taken and the columns ``keep`` for every row.
 
     A shard takes quota * block words, no more than three times its size: whole
     rounds of all its documents first, then documents in the order of a seeded
@@ -96,13 +96,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source of its own, the last; repeated rows count each, and tied hashes go
     by id and size, so that reruns agree whatever the partitions.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    others = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *others)
     sized = store(sized, "sizes")  # three plans read it; texts are read once
-    return mix_sized(sized, block=block, seed=seed).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken")
+    out = mix_sized(sized, block=block, seed=seed)
+    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
 
 
-def mix_sized(sized: DataFrame, *, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``mix`` for rows (doc_id, source, size) with further columns ``keep``."""
+def mix_sized(sized: DataFrame, *, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """``mix`` for rows (doc_id, source, size), further columns kept."""
+    extra = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     targets = source_targets(sized)
     parts = F.greatest(F.ceil(F.col("docs") / SHARD_DOCS), F.lit(1))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
@@ -123,4 +126,4 @@ def mix_sized(sized: DataFrame, *, block: int = BLOCK, seed: str = SEED, keep: t
     rest = asked - rounds * F.col("shard_size")
     # shards without a word have no quota
     taken = F.coalesce(rounds * F.col("size") + F.greatest(F.least(rest - before, F.col("size")), F.lit(0)), F.lit(0))
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *extra)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_main, jaccard, langid, licenses, mixing, pii
+from . import ann, bpe, decontam, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup
 from .sql import ORACLE
 
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by repeated 200-byte strings."""
+    return suffix_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact phrases and fuzzy short notices."""
     found = licenses.scan(_table(spark, sf_dir, "documents"))
