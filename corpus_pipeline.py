@@ -28,15 +28,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group at five words and a similarity of 0.8."""
     groups = jaccard.near_duplicates(docs, n=5, percent=80)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi").select(*docs.columns)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item or an edited copy of one."""
     leaks = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = leaks.select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("leak")), "left_anti").select(*docs.columns)
+    found = leaks.select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__leak"]), "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _search(shared) -> Callable:
                 out = list(passages(index, body, at))
                 if not out:
                     continue
-                starts, ends, first = K.word_bounds(body, at, SEPARATORS)
+                starts, ends, first = K.word_bounds(K.LOWER[body], at, SEPARATORS)
                 texts = [body[starts[first[r] + a] : ends[first[r] + b - 1]].tobytes() for r, _, a, b, _ in out]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -1,5 +1,50 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+The others are tested against brute force: byte-level removal, approximate
+neighbours, edit-bounded search, HTML, byte-pair merging, alignment, bootstrapped
+patterns and a fitted model are beyond it.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP5 = rf"""
+with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::bigint as size from documents),
+each as (select source, sum(size)::bigint source_size, count(*) docs from sized group by source),
+ranked as (select *, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] weight, source_size * 3 cap from each),
+ratios as (select *, cap / weight ratio from ranked),
+levels as (select *, row_number() over w place, (sum(source_size) over () - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as level from ratios window w as (order by ratio, source nulls last)),
+fixed as (select level as fixed from levels where level <= ratio order by place limit 1),
+targets as (select source, source_size, docs, least(cap::double, weight * coalesce((select fixed from fixed), 0.0)) target from levels),
+placed as (select s.*, t.source_size, t.target, ('0x' || substring(md5('mix' || coalesce(s.doc_id::varchar, '-')), 1, 13))::bigint drawn, greatest(ceil(t.docs / 4096), 1)::bigint parts
+  from sized s join targets t on s.source is not distinct from t.source),
+dealt as (select *, drawn % parts shard from placed),
+shards as (select source, shard, sum(size)::bigint shard_size, any_value(source_size) source_size, any_value(target) target from dealt group by source, shard),
+shares as (select *, count(*) over (partition by source) n, floor(target / 32 + 0.5) seats, coalesce(shard_size / nullif(source_size, 0), 0) share from shards),
+sures as (select *, case when shard_size > 0 then floor(greatest(seats - n / 2, 0) * share + 0.5) else 0 end sure from shares),
+lefts as (select *, seats - sum(sure) over (partition by source) "left" from sures),
+bids as (select *, unnest(range(sure::bigint, (sure + floor(share * n) + 2)::bigint)) k from lefts where shard_size > 0),
+places as (select *, row_number() over (partition by source order by shard_size / (2 * k + 1) desc, shard, k) place from bids),
+quotas as (select source, shard, any_value(shard_size) shard_size, any_value(sure) + count(*) filter (where place <= "left") quota from places group by source, shard),
+asks as (select *, least(quota * 32, shard_size * 3) asked from quotas),
+running as (select d.*, a.asked, a.shard_size, floor(a.asked / a.shard_size) rounds,
+  sum(d.size) over (partition by d.source, d.shard order by d.drawn, d.doc_id, d.size rows unbounded preceding) - d.size as before
+  from dealt d left join asks a on d.source is not distinct from a.source and d.shard = a.shard)
+select doc_id, size, source_size, target, coalesce(rounds * size + greatest(least(asked - rounds * shard_size - before, size), 0), 0)::bigint as taken from running
+"""
+
+OP8 = rf"""
+with recursive worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') w from documents),
+sets as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end s from worded),
+grams as (select doc_id, len(s) n, unnest(s) g from sets),
+links as (select a.doc_id a, b.doc_id b from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as component_id from sets
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8}
