@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +31,20 @@ def with_instants(df: DataFrame) -> DataFrame:
     """``df`` with its zone-less timestamps as instants, read as UTC: watermarks and epoch casts need them."""
     naive = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: they need not have it installed nor on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
