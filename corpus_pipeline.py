@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, jaccard, langid, mixing, pii
 from tidemark.llm.store import store
+from tidemark.session import ship
 
 #: A prediction less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -19,6 +20,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; ``und`` and unsure ones go."""
+    ship(spark)
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
     found = langid.predict(docs, model, keep=[*docs.columns])
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
@@ -26,7 +28,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group at five words and a similarity of 0.8."""
+    """Keep one document, that of the smallest id, of each group at five words and a similarity of 0.8.
+
+    Rows that share an id are one document here: they stay or go together.
+    """
+    ship(spark)
     groups = jaccard.near_duplicates(docs, n=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*docs.columns)
@@ -34,6 +40,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item or an edited copy of one."""
+    ship(spark)
     leaks = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = leaks.select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__leak"]), "left_anti").select(*docs.columns)
@@ -41,11 +48,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; n_chars is counted anew."""
+    ship(spark)
     return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of the documents that the mix takes."""
+    ship(spark)
     return mixing.mix(docs, keep=("source",)).where("taken > 0")
 
 
