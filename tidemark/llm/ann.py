@@ -21,7 +21,7 @@ from .store import store
 #: Vectors drawn, by hash of their id, to fit the index; most coarse lists; values of a code.
 SAMPLE, MAX_LISTS, CODES = 65_536, 4096, 256
 #: Dimensions of a code, share of the lists that are probed (and the least number), members reranked in a block.
-SUB_DIMS, PROBE_SHARE, LEAST_PROBES, RERANK = 4, 0.6, 16, 48
+SUB_DIMS, PROBE_SHARE, LEAST_PROBES, RERANK = 4, 0.75, 16, 64
 #: Members and queries that meet in one block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 SEED = 17
