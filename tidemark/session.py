@@ -33,11 +33,20 @@ def with_instants(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
 
+#: Rows of an Arrow batch unless the session says otherwise: Spark's own number bounds no bytes, and rows here are whole texts.
+ARROW_ROWS = 1000
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session: they need not have it installed nor on their path."""
+    """Give the executors this package, once a session: they need not have it installed nor on their path.
+
+    Also lowers the rows of an Arrow batch where the session left Spark's default.
+    """
+    if spark.conf.get(_ARROW_KEY, _ARROW_DEFAULT) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
