@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -145,10 +145,24 @@ def _search(shared) -> Callable:
     return run
 
 
-def _score(shared) -> Callable:
+def _seeded(batch: pa.RecordBatch, rare: np.ndarray) -> pa.RecordBatch:
+    """Passages with a rare n-gram of their item."""
+    grams = batch.column(4)
+    many = np.diff(grams.offsets.to_numpy())
+    name = _pair(grams.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(1).to_numpy(), many))
+    spot = np.minimum(np.searchsorted(rare, name), max(0, len(rare) - 1))
+    hit = rare[spot] == name if len(rare) else np.zeros(len(name), bool)
+    owner = np.repeat(np.arange(batch.num_rows), many)
+    return batch.filter(pa.array(np.bincount(owner[hit], minlength=batch.num_rows) > 0))
+
+
+def _score(shared, rare) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
+            batch = _seeded(batch, rare.value)
+            if not batch.num_rows:
+                continue
             item = batch.column(1).to_numpy()
             words, first = K.word_hashes(*K.utf8_rows(batch.column(3)), SEPARATORS)
             score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
@@ -208,11 +222,8 @@ def leaks(
         index = Index.build(ids, texts)
         shared = spark.sparkContext.broadcast(index)
         seen = store(given.mapInArrow(_search(shared), _SEEN.format(kind)), "passages")
-        rare = _rare(seen, index)
-        seeded = seen.withColumn("gram", F.explode("grams"))
-        seeded = seeded.join(rare, ["item", "gram"], "left_semi").drop("gram", "grams")
-        seeded = seeded.dropDuplicates(["id", "item", "word", "passage"]).select("id", "item", "word", "passage")
-        scored = seeded.mapInArrow(_score(shared), f"id {kind}, item_id long, score double, word_start int, word_end long")
+        rare = spark.sparkContext.broadcast(_rare(seen, index))
+        scored = seen.mapInArrow(_score(shared, rare), f"id {kind}, item_id long, score double, word_start int, word_end long")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return spark.createDataFrame([], f"{id_col} {kind}, item_id long, score double, word_start int, word_end long")
@@ -221,12 +232,33 @@ def leaks(
     return out.select(F.col("id").alias(id_col), "item_id", "score", "at.word_start", "at.word_end")
 
 
-def _rare(seen: DataFrame, index: Index) -> DataFrame:
-    """(item, gram) of the rarer n-grams of each item, by documents that hold them; the table is as large as the items."""
-    spark = seen.sparkSession
-    held = seen.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_distinct("id").alias("docs"))
-    pairs = pa.table({"item": pa.array(index.item.astype(np.int32)), "gram": pa.array(index.gram.view(np.int64)), "place": pa.array(index.place.astype(np.int32))})
-    grams = spark.createDataFrame(pairs).groupBy("item", "gram").agg(F.min("place").alias("place"))
-    of_item = Window.partitionBy("item")
-    ranked = grams.join(held, "gram").withColumn("rank", F.row_number().over(of_item.orderBy("docs", "place"))).withColumn("many", F.count(F.lit(1)).over(of_item))
-    return ranked.where(F.col("rank") <= F.ceil(F.col("many") * RARE_SHARE)).select("item", "gram")
+def _pair(gram: np.ndarray, item: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return K.mix64(gram + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _rare(seen: DataFrame, index: Index) -> np.ndarray:
+    """Sorted names of (n-gram, item) for the rarer n-grams of each item, by the documents that hold them.
+
+    Counts come from all documents; what comes back has a row for an n-gram of
+    the slice at most.
+    """
+    met = seen.select("id", F.explode("grams").alias("gram"))
+    held = met.groupBy("gram").agg(F.count_distinct("id").alias("docs")).toArrow()
+    order = np.argsort(gram := held.column(0).to_numpy().view(np.uint64))
+    gram, docs = gram[order], held.column(1).to_numpy()[order]
+    if not len(gram):
+        return gram
+    spot = np.minimum(np.searchsorted(gram, index.gram), len(gram) - 1)
+    there = gram[spot] == index.gram
+    item, place, many = index.item[there], index.place[there], docs[spot][there]
+    # each n-gram once an item, at its first place
+    first = np.lexsort((place, index.gram[there], item))
+    new = np.ones(len(first), bool)
+    new[1:] = (item[first][1:] != item[first][:-1]) | (index.gram[there][first][1:] != index.gram[there][first][:-1])
+    keep = first[new]
+    by_rarity = keep[np.lexsort((place[keep], many[keep], item[keep]))]
+    begin = np.searchsorted(item[by_rarity], item[by_rarity])
+    size = np.searchsorted(item[by_rarity], item[by_rarity], "right") - begin
+    rarer = np.arange(len(by_rarity)) - begin < np.ceil(size * RARE_SHARE)
+    return np.sort(_pair(index.gram[there][by_rarity[rarer]], item[by_rarity[rarer]]))
