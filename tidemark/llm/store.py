@@ -11,11 +11,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """This application's folder in the one that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
     app = spark.sparkContext.applicationId
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named.rstrip('/')}/tables-{app}"
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tables-")
     return _own[app]
@@ -33,6 +33,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a stored table that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stored tables of this application, once no result that reads them is needed."""
+    _delete(spark, folder(spark))
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
