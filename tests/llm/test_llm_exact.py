@@ -306,6 +306,25 @@ def test_leaks(spark):
     assert decontam.leaks(table(spark, rows), benchmark.where("false")).count() == 0
 
 
+def test_edited_copies_are_found_beside_full_ones(spark):
+    """The n-grams that an edited copy lacks are the item's rarer ones; it is found however often the item leaks whole."""
+    rng = random.Random(5)
+    words = [f"b{k}" for k in range(40)]
+    heavy = " ".join(f"x{k}" if k % 5 == 2 else w for k, w in enumerate(words))
+    phrase = f"{prose(rng, 30)} {' '.join(words[:4])} {prose(rng, 60)}"  # four words of the item, not a copy
+    rows = [(k, f"{prose(rng, 20)} {' '.join(words)} {prose(rng, 20)}") for k in range(3)] + [(10, f"{prose(rng, 20)} {heavy} {prose(rng, 20)}"), (11, phrase)]
+    got = {r["doc_id"]: r["score"] for r in decontam.leaks(table(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2, 10} and 0.7 <= got[10] < 0.75
+
+
+def test_passages_left_unaligned_cannot_score():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = (np.array(rng.choices(range(8), k=rng.randint(1, 15)), np.uint64) for _ in range(2))
+        score = decontam.align([a], [b])[0][0] / (decontam.MATCH * len(a))
+        assert decontam.reachable(a, b, 0.5) or score < 0.5
+
+
 def test_alignment_equals_the_recurrence():
     rng = random.Random(3)
     for _ in range(30):

@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items are looked up in the training documents.  Only
-an item's rarer n-grams, by the number of documents that hold them in the
-whole corpus, count as seeds; a passage of a document with a seed is aligned
-with the item word by word, so that copies with replaced, added or dropped
-words still score.
+Word n-grams of the test items are looked up in the training documents.  A
+passage of a document with a seed is aligned with the item word by word, so
+that copies with replaced, added or dropped words still score.  Passages that
+hold too few of the item's words to reach the least score, as those that meet
+it in a common phrase do, are not aligned; that loses nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .licenses import SEPARATORS
-from .store import store
 
-#: Words of a seed; share of an item's n-grams that count as rare; least score.
-SEED_WORDS, RARE_SHARE, LEAST = 4, 0.5, 0.5
+#: Words of a seed; least score.
+SEED_WORDS, LEAST = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of test items that go to the executors at once (8 bytes each, and as much for n-grams); more items take further passes.
 SLICE_WORDS = 1 << 21
 _FILTER_BITS = 22
-_ALIGN = 512
+#: Pairs, and words of all their texts, that are aligned at once; a longer text goes alone.
+_ALIGN, _ALIGN_WORDS = 512, 1 << 19
 
 
 @dataclass
@@ -55,8 +55,8 @@ class Index:
         return cls(ids, words, first, gram[order], item[order], place[order], bits)
 
 
-def passages(index: Index, body: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, item, first word, last word + 1, n-gram hashes met) of stretches that share n-grams with an item."""
+def passages(index: Index, body: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(row, item, first word, words) of stretches that share n-grams with an item."""
     words, first = K.word_hashes(body, at, SEPARATORS)
     gram, of_row = K.gram_hashes(words, first, SEED_WORDS)
     met = np.flatnonzero(index.filter[gram >> np.uint64(64 - _FILTER_BITS)])
@@ -80,7 +80,15 @@ def passages(index: Index, body: np.ndarray, at: np.ndarray) -> Iterator[tuple[i
         pad = int(size[a]) // 4 + 2
         lo_word = max(0, int(begin.min()) - pad)
         hi_word = min(int(first[row[a] + 1] - first[row[a]]), int(begin.max() + size[a]) + pad)
-        yield int(row[a]), int(item[a]), lo_word, hi_word, np.unique(index.gram[entry[a:b]]).view(np.int64)
+        yield int(row[a]), int(item[a]), lo_word, words[first[row[a]] + lo_word : first[row[a]] + hi_word]
+
+
+def reachable(item: np.ndarray, text: np.ndarray, least: float) -> bool:
+    """Whether an alignment can score ``least``: each matched word takes one occurrence in both, and edits only cost."""
+    kinds, many = np.unique(item, return_counts=True)
+    spot = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+    held = np.bincount(spot[kinds[spot] == text], minlength=len(kinds))
+    return int(np.minimum(many, held).sum()) / len(item) >= least
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,67 +126,40 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-_SEEN = "id {}, item int, word int, passage string, grams array<long>"
+def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
+    """Places of texts of like length, so many as can be aligned at once."""
+    group: list[int] = []
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k])):
+        if group and (len(group) == _ALIGN or (len(group) + 1) * len(texts[k]) > _ALIGN_WORDS):
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
 
 
-def _search(shared) -> Callable:
+def _search(shared, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        ids = np.array([x if x is not None else 0 for x in index.items], np.int64)
+        null = np.array([x is None for x in index.items], bool)
         for batch in batches:
             for i, _, body, at in K.chunks(batch.column(1)):
-                out = list(passages(index, body, at))
-                if not out:
-                    continue
-                starts, ends, first = K.word_bounds(K.LOWER[body], at, SEPARATORS)
-                texts = [body[starts[first[r] + a] : ends[first[r] + b - 1]].tobytes() for r, _, a, b, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([i + x[0] for x in out])),
-                        pa.array([x[1] for x in out], pa.int32()),
-                        pa.array([x[2] for x in out], pa.int32()),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                        pa.array([x[4] for x in out], pa.list_(pa.int64())),
-                    ],
-                    names=["id", "item", "word", "passage", "grams"],
-                )
-
-    return run
-
-
-def _seeded(batch: pa.RecordBatch, rare: np.ndarray) -> pa.RecordBatch:
-    """Passages with a rare n-gram of their item."""
-    grams = batch.column(4)
-    many = np.diff(grams.offsets.to_numpy())
-    name = _pair(grams.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(1).to_numpy(), many))
-    spot = np.minimum(np.searchsorted(rare, name), max(0, len(rare) - 1))
-    hit = rare[spot] == name if len(rare) else np.zeros(len(name), bool)
-    owner = np.repeat(np.arange(batch.num_rows), many)
-    return batch.filter(pa.array(np.bincount(owner[hit], minlength=batch.num_rows) > 0))
-
-
-def _score(shared, rare) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            batch = _seeded(batch, rare.value)
-            if not batch.num_rows:
-                continue
-            item = batch.column(1).to_numpy()
-            words, first = K.word_hashes(*K.utf8_rows(batch.column(3)), SEPARATORS)
-            score, end = np.zeros(len(item)), np.zeros(len(item), np.int64)
-            by_width = np.argsort(np.diff(first), kind="stable")
-            size = np.diff(index.first)
-            for lo in range(0, len(item), _ALIGN):
-                some = by_width[lo : lo + _ALIGN]
-                best, last = align(
-                    [index.words[index.first[k] : index.first[k + 1]] for k in item[some]], [words[first[k] : first[k + 1]] for k in some]
-                )
-                score[some] = best / (MATCH * size[item[some]])
-                end[some] = last
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(index.items, np.int64)[item]), pa.array(score), batch.column(2), pa.array(batch.column(2).to_numpy() + end)],
-                names=["id", "item_id", "score", "word_start", "word_end"],
-            )
+                met = [(r, k, lo, text, index.words[index.first[k] : index.first[k + 1]]) for r, k, lo, text in passages(index, body, at)]
+                out = [x for x in met if reachable(x[4], x[3], least)]
+                for group in _groups([x[3] for x in out]):
+                    row, item, begin = (np.array([out[k][c] for k in group]) for c in range(3))
+                    best, end = align([out[k][4] for k in group], [out[k][3] for k in group])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(i + row)),
+                            pa.array(ids[item], mask=null[item]),
+                            pa.array(best / (MATCH * np.diff(index.first)[item])),
+                            pa.array(begin, pa.int32()),
+                            pa.array(begin + end, pa.int32()),
+                        ],
+                        names=["id", "item_id", "score", "word_start", "word_end"],
+                    )
 
     return run
 
@@ -221,44 +202,10 @@ def leaks(
     for ids, texts in _slices(benchmark, item_col, item_text_col, slice_words):
         index = Index.build(ids, texts)
         shared = spark.sparkContext.broadcast(index)
-        seen = store(given.mapInArrow(_search(shared), _SEEN.format(kind)), "passages")
-        rare = spark.sparkContext.broadcast(_rare(seen, index))
-        scored = seen.mapInArrow(_score(shared, rare), f"id {kind}, item_id long, score double, word_start int, word_end long")
+        scored = given.mapInArrow(_search(shared, least), f"id {kind}, item_id long, score double, word_start int, word_end int")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return spark.createDataFrame([], f"{id_col} {kind}, item_id long, score double, word_start int, word_end long")
     best = F.max_by(F.struct("word_start", "word_end"), F.struct("score", -F.col("word_start"))).alias("at")
     out = out.where(F.col("score") >= least).groupBy("id", "item_id").agg(F.max("score").alias("score"), best)
     return out.select(F.col("id").alias(id_col), "item_id", "score", "at.word_start", "at.word_end")
-
-
-def _pair(gram: np.ndarray, item: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return K.mix64(gram + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _rare(seen: DataFrame, index: Index) -> np.ndarray:
-    """Sorted names of (n-gram, item) for the rarer n-grams of each item, by the documents that hold them.
-
-    Counts come from all documents; what comes back has a row for an n-gram of
-    the slice at most.
-    """
-    met = seen.select("id", F.explode("grams").alias("gram"))
-    held = met.groupBy("gram").agg(F.count_distinct("id").alias("docs")).toArrow()
-    order = np.argsort(gram := held.column(0).to_numpy().view(np.uint64))
-    gram, docs = gram[order], held.column(1).to_numpy()[order]
-    if not len(gram):
-        return gram
-    spot = np.minimum(np.searchsorted(gram, index.gram), len(gram) - 1)
-    there = gram[spot] == index.gram
-    item, place, many = index.item[there], index.place[there], docs[spot][there]
-    # each n-gram once an item, at its first place
-    first = np.lexsort((place, index.gram[there], item))
-    new = np.ones(len(first), bool)
-    new[1:] = (item[first][1:] != item[first][:-1]) | (index.gram[there][first][1:] != index.gram[there][first][:-1])
-    keep = first[new]
-    by_rarity = keep[np.lexsort((place[keep], many[keep], item[keep]))]
-    begin = np.searchsorted(item[by_rarity], item[by_rarity])
-    size = np.searchsorted(item[by_rarity], item[by_rarity], "right") - begin
-    rarer = np.arange(len(by_rarity)) - begin < np.ceil(size * RARE_SHARE)
-    return np.sort(_pair(index.gram[there][by_rarity[rarer]], item[by_rarity[rarer]]))
