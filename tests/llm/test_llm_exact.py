@@ -462,6 +462,16 @@ def test_personal_data(spark):
     assert pii.detect(table(spark, [])).count() == 0
 
 
+def test_every_confident_pattern_is_tested(spark, monkeypatch):
+    """However many contexts qualify, each one's identifiers are found, those of least support too."""
+    monkeypatch.setattr(pii, "SLICE_PATTERNS", 2)
+    names = ["ann", "bob", "cid", "dan", "eve", "fay", "gus"]
+    rows = [(100 * k + j, f"Please call {name} at +1 (988) 55{k}-{2000 + j} or write.") for k, name in enumerate(names) for j in range(5 + k)]
+    rows += [(9000 + k, f"Then {name} at AB-77-1{k}34X today") for k, name in enumerate(names)]
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(table(spark, rows)).where("doc_id >= 9000").collect()}
+    assert got == {9000 + k: "id:12:23" for k in range(len(names))}
+
+
 # 10 -------------------------------------------------------------------------------
 
 

@@ -27,8 +27,10 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
 
 #: Rounds of scoring; distinct instances that a pattern needs; confidence that it needs; share of its places
-#: in all texts at which an identifier follows; patterns of the model at most, those of most support.
-ROUNDS, SUPPORT, CONFIDENCE, SPECIFIC, MAX_PATTERNS = 3, 5, 0.8, 0.1, 1 << 16
+#: in all texts at which an identifier follows.
+ROUNDS, SUPPORT, CONFIDENCE, SPECIFIC = 3, 5, 0.8, 0.1
+#: Patterns whose places are counted in one pass over the texts (8 bytes each on the executors, and as much for counts); more take further passes.
+SLICE_PATTERNS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -150,10 +152,13 @@ def good_patterns(mentioned: DataFrame) -> DataFrame:
 _LETTERS = K.separator_table(bytes(b for b in range(128) if not chr(b).isalpha()))
 
 
-def _pair_hashes(column) -> np.ndarray:
-    """Hashes of two consecutive words of letters."""
-    parts = [K.gram_hashes(*K.word_hashes(body, at, _LETTERS), 2)[0] for _, _, body, at in K.chunks(column)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, hits, pair): the hash of each pattern's two words."""
+    for batch in batches:
+        words, first = K.word_hashes(*K.utf8_rows(batch.column(0)), _LETTERS)
+        pair, index = K.gram_hashes(words, first, 2)
+        assert (np.diff(index) == 1).all(), "a pattern has two words"
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair.view(np.int64))], names=["pattern", "hits", "pair"])
 
 
 def _places(shared) -> Callable:
@@ -174,21 +179,24 @@ def _places(shared) -> Callable:
 def specific(texts: DataFrame, good: DataFrame) -> DataFrame:
     """(pattern) of those that stand before an identifier in a share of all their places in ``texts``.
 
-    Words as common as ``of the`` stand before anything.  The patterns are the
-    fitted model: at most MAX_PATTERNS hashes go to the executors.
+    Words as common as ``of the`` stand before anything.  Every pattern is
+    tested: their hashes go to the executors in slices, one pass each.
     """
     spark = texts.sparkSession
-    rows = good.orderBy(F.desc("support"), "pattern").limit(MAX_PATTERNS).select("pattern", "hits").toArrow()
-    pairs = _pair_hashes(rows.column(0)) if rows.num_rows else np.zeros(0, np.uint64)
-    kept = []
-    if rows.num_rows and len(pairs) == rows.num_rows:
-        shared = spark.sparkContext.broadcast(np.unique(pairs))
-        found = texts.mapInArrow(_places(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-        places = {x["pair"]: x["n"] for x in found}
-        for pattern, hits, pair in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), pairs.view(np.int64).tolist(), strict=True):
-            if hits >= SPECIFIC * places.get(pair, 0):
-                kept.append((pattern,))
-    return spark.createDataFrame(kept, "pattern string")
+    hashed = store(good.select("pattern", "hits").mapInArrow(_hashed, "pattern string, hits long, pair long"), "patterns")
+    many = max(1, -(-hashed.count() // SLICE_PATTERNS))
+    counted = None
+    for k in range(many):
+        pairs = hashed.where(F.pmod("pair", F.lit(many)) == k).select("pair").distinct().toArrow().column(0).to_numpy().view(np.uint64)
+        if not len(pairs):
+            continue
+        shared = spark.sparkContext.broadcast(np.sort(pairs))
+        part = texts.mapInArrow(_places(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        counted = part if counted is None else counted.unionByName(part)
+    if counted is None:
+        return hashed.select("pattern")
+    tested = hashed.join(counted, "pair", "left").where(F.col("hits") >= SPECIFIC * F.coalesce("n", F.lit(0)))
+    return store(tested.select("pattern"), "specific")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
