@@ -27,3 +27,12 @@ def test_page_pushes_the_cursor_and_takes_the_top(spark, data):
 def test_similarity_has_no_cartesian_product(spark, data):
     plan = catalog.queries()["jaccard_pairs"](spark, data)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_overlaps_are_of_all_turns(spark, data):
+    turns = [(r.conv_id, r.turn, set((r.text or "").lower().split())) for r in spark.read.parquet(f"{data}/conversations.parquet").collect()]
+    turns = sorted((x for x in turns if x[2]), key=lambda x: x[:2])
+    pairs = ((x, y) for k, x in enumerate(turns) for y in turns[k + 1 :])
+    brute = {(*x[:2], *y[:2]) for x, y in pairs if len(x[2] & y[2]) / min(len(x[2]), len(y[2])) > 0.3}
+    got = {(r.a, r.turn_a, r.b, r.turn_b) for r in catalog.queries()["overlap_turns"](spark, data).collect()}
+    assert got == brute and any(x[1] or x[3] for x in got)

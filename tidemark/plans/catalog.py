@@ -424,11 +424,24 @@ e as (select k, n, unnest(w) word from s)
 select x.k a, y.k b, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) as overlap from e x join e y on x.word = y.word and x.k < y.k
 group by all having count(*) / least(any_value(x.n), any_value(y.n)) > 0.3""")
 def overlap_pairs(spark, d):
-    """Overlaps of the first turns, the blocks of this data."""
+    """Overlaps of the first turns alone; overlap_turns has those of all."""
     out = similarity.overlapping_blocks(_messages(spark, d).where("turn = 0"), "conv_id", "text")
     return out.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
+@_register(r"""
+with s as (select conv_id k, turn t, len(w) n, w from (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\s\x{00a0}]+'), lambda x: x <> '')) w from conversations) where len(w) > 0),
+e as (select k, t, n, unnest(w) word from s)
+select x.k a, x.t turn_a, y.k b, y.t turn_b, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) as overlap
+from e x join e y on x.word = y.word and (x.k < y.k or x.k = y.k and x.t < y.t)
+group by all having count(*) / least(any_value(x.n), any_value(y.n)) > 0.3""")
+def overlap_turns(spark, d):
+    """Overlaps of all turns, of one conversation and of different ones."""
+    turns = _messages(spark, d).withColumn("block", F.struct("conv_id", "turn"))
+    out = similarity.overlapping_blocks(turns, "block", "text")
+    return out.select(F.col("a.conv_id").alias("a"), F.col("a.turn").alias("turn_a"), F.col("b.conv_id").alias("b"), F.col("b.turn").alias("turn_b"), F.round("overlap", 6).alias("overlap"))
+
+
 # Timeline ------------------------------------------------------------------------
 
 _SQL_SESSIONS = """
