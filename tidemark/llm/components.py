@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import attach, hot_keys
 from .store import discard, store
 
 EDGE = "a long, b long"
@@ -62,7 +63,8 @@ def connected(edges: DataFrame) -> DataFrame:
     that smallest node.  Rounds of hooking (all labels of a node are joined to
     the least) and pointer jumping halve the depth; each round is a written
     table.  No step gathers a component in one place: minima are aggregated
-    before the shuffle and labels are looked up with joins.
+    before the shuffle, and labels are looked up with joins in which those that
+    many nodes share are broadcast.
 
     Empty edges give an empty result; loops (a = b) are ignored.
     """
@@ -80,7 +82,9 @@ def connected(edges: DataFrame) -> DataFrame:
             ).alias("e")
         ).select("e.*")
         up = parent.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        jumped = both.join(up, "b", "left").select(
+        # a node stands in few rows as a, but the label of a large component in very many as b
+        shared = hot_keys(parent.select(F.col("p").alias("b")), "b", now.count())
+        jumped = attach(both, up, "b", shared, "left").select(
             "a", F.coalesce("q", "b").alias("b"), (F.col("moved") | F.col("q").isNotNull()).alias("moved")
         )
         after = store(jumped.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
