@@ -1,34 +1,41 @@
 """Personal data by exact patterns and by bootstrapped contextual extraction.
 
 Base patterns give the seeds: e-mail addresses, IP addresses, card and phone
-numbers.  The words before a seed form a lexical pattern; the same patterns
-stand before other tokens that look like identifiers.  Spark scores the graph
-of patterns and instances in rounds: a pattern is as good as its instances, an
-instance as good as its patterns together.  Patterns of high confidence that
-rarely stand before anything else then give identifiers that no base pattern
-knows.
+numbers; tokens of a well-known secret format are weaker ones.  The words
+before and after a seed, one or two of them, form lexical patterns; the same
+patterns stand beside other tokens that look like identifiers.  Spark scores
+the graph of patterns and instances in rounds: a pattern is as good as the
+instances at its places, an instance as good as its other patterns together.
+Identifiers beside patterns of high confidence are found, whatever they look
+like.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .skew import attach, hot_keys
 from .store import store
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a contextual find is called; it sorts after the base kinds.
 FOUND = "id"
 
-#: Rounds of scoring; distinct instances that a pattern needs; confidence that it needs; share of its places
-#: in all texts at which an identifier follows.
-ROUNDS, SUPPORT, CONFIDENCE, SPECIFIC = 3, 5, 0.8, 0.1
+#: Rounds of scoring; known distinct instances that a pattern of two words needs, and one of a single word; confidence that it needs.
+ROUNDS, SUPPORT, SUPPORT_ONE, CONFIDENCE = 3, 5, 20, 0.8
+#: What an instance of unknown worth counts against a pattern, and what is added to the doubt of each pattern, so that few instances prove less.
+UNKNOWN, SMOOTH = 0.5, 0.5
+#: Belief in a token of a secret's format.
+FORMAT_BELIEF = 0.9
 #: Patterns whose places are counted in one pass over the texts (8 bytes each on the executors, and as much for counts); more take further passes.
 SLICE_PATTERNS = 1 << 20
 
@@ -41,7 +48,15 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens that look like identifiers: six characters or more with a digit, plain punctuation aside.
 _CANDIDATE = re.compile(r"[^\s\"'(),;:=<>\[\]{}]{6,}")
-_BEFORE = re.compile(r"([^\W\d_]+)\W{0,3}([^\W\d_]+)[\s:=\"'(#-]{1,4}\Z")
+#: Formats of secrets: digests and keys in hex, UUIDs, access keys and tokens of hosting services, social security numbers.
+_FORMAT = re.compile(
+    r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"
+    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]{3}-[0-9]{2}-[0-9]{4})"
+)
+# Context words are those that the kernel counts: everything but ASCII characters that are no letters.
+_WORD, _GAP = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BEFORE = regex.compile(rf"(?r)(?:({_WORD}){_GAP})?({_WORD}){_GAP}")
+_AFTER = regex.compile(rf"{_GAP}({_WORD})(?:{_GAP}({_WORD}))?")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -84,29 +99,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(text: str, start: int) -> str | None:
-    """The two words before a position, lower-cased; None where there are not two in the same line."""
-    m = _BEFORE.search(text[max(0, start - 80) : start].rpartition("\n")[2])
-    return f"{m[1]} {m[2]}".lower() if m else None
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns beside a place, on its own line: one and two words before (``l:``) and after (``r:``), A-Z lower-cased."""
+    out = []
+    if m := _BEFORE.match(text, 0, start):
+        out.append(f"l:{m[2]}")
+        if m[1]:
+            out.append(f"l:{m[1]} {m[2]}")
+    if m := _AFTER.match(text, end):
+        out.append(f"r:{m[1]}")
+        if m[2]:
+            out.append(f"r:{m[1]} {m[2]}")
+    return [x.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for x in out]
+
+
+def _name(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and candidates that stand after two words: pattern, instance, kind (null: candidate), place."""
-    out = []
-    for a, kind, b in spans:
-        if (pattern := context(text, a)) is not None:
-            out.append({"pattern": pattern, "instance": text[a:b].lower(), "kind": KINDS[kind], "start": a, "end": b})
+    """Seeds and candidates: their patterns, instance (a hash), belief (1 a seed, 0 unknown), whether a candidate, and place."""
+    out = [{"patterns": contexts(text, a, b), "instance": _name(text[a:b]), "belief": 1.0, "candidate": False, "start": a, "end": b} for a, _, b in spans]
     if _DIGIT.search(text):
+        taken, k = sorted((a, b) for a, _, b in spans), 0
         for m in _CANDIDATE.finditer(text):
             token = m[0].rstrip(".!?")
             a, b = m.start(), m.start() + len(token)
-            if len(token) >= 6 and _DIGIT.search(token) and not any(x < b and a < y for x, _, y in spans) and (pattern := context(text, a)) is not None:
-                out.append({"pattern": pattern, "instance": token.lower(), "kind": None, "start": a, "end": b})
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if len(token) >= 6 and _DIGIT.search(token) and not any(x < b and a < y for x, y in taken[k : k + len(KINDS)]):
+                belief = FORMAT_BELIEF if _FORMAT.fullmatch(token) else 0.0
+                out.append({"patterns": contexts(text, a, b), "instance": _name(token), "belief": belief, "candidate": True, "start": a, "end": b})
     return out
 
 
-_MENTIONS = "array<struct<pattern: string, instance: string, kind: string, start: int, end: int>>"
-_MENTION_TYPE = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_MENTIONS = "array<struct<patterns: array<string>, instance: long, belief: double, candidate: boolean, start: int, end: int>>"
+_MENTION_TYPE = pa.list_(
+    pa.struct(
+        [("patterns", pa.list_(pa.string())), ("instance", pa.int64()), ("belief", pa.float64()), ("candidate", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]
+    )
+)
 _SPANS = "array<struct<start: int, kind: int, end: int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
@@ -123,42 +155,19 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def good_patterns(mentioned: DataFrame) -> DataFrame:
-    """Patterns of high confidence from rows (pattern, instance, kind), scored in rounds.
-
-    An instance starts at 1 if it is a seed anywhere, else at 0.  A pattern's
-    score is the mean over its distinct instances; an instance that is no seed
-    gets 1 - product(1 - score) over its patterns with enough support.
-    """
-    edges = store(mentioned.groupBy("pattern", "instance").agg(F.max(F.col("kind").isNotNull()).alias("seed"), F.count(F.lit(1)).alias("n")), "mentions")
-    instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("known")).withColumn("belief", F.col("known"))
-    score = None
-    for k in range(ROUNDS):
-        score = (
-            edges.join(instances, "instance")
-            .groupBy("pattern")
-            .agg(F.avg("belief").alias("score"), F.count(F.lit(1)).alias("support"), F.sum("n").alias("hits"))
-            .where(F.col("support") >= SUPPORT)
-        )
-        if k < ROUNDS - 1:
-            doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-            held = edges.join(score, "pattern").groupBy("instance").agg((1 - doubt).alias("shown"))
-            instances = instances.join(held, "instance", "left").select(
-                "instance", "known", F.greatest(F.col("known"), F.coalesce("shown", F.lit(0.0))).alias("belief")
-            )
-    return score.where(F.col("score") >= CONFIDENCE).select("pattern", "score", "support", "hits")
-
-
 _LETTERS = K.separator_table(bytes(b for b in range(128) if not chr(b).isalpha()))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, hits, pair): the hash of each pattern's two words."""
+    """(pattern, hits, gram): the hash of each pattern's one or two words."""
     for batch in batches:
-        words, first = K.word_hashes(*K.utf8_rows(batch.column(0)), _LETTERS)
+        words, first = K.word_hashes(*K.utf8_rows(pa.array([p[2:] for p in batch.column(0).to_pylist()], pa.large_string())), _LETTERS)
+        size = np.diff(first)
+        assert ((size == 1) | (size == 2)).all(), "a pattern has one word or two"
+        gram = words[first[:-1]].copy()
         pair, index = K.gram_hashes(words, first, 2)
-        assert (np.diff(index) == 1).all(), "a pattern has two words"
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair.view(np.int64))], names=["pattern", "hits", "pair"])
+        gram[size == 2] = pair[index[:-1][size == 2]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gram.view(np.int64))], names=["pattern", "hits", "gram"])
 
 
 def _places(shared) -> Callable:
@@ -167,36 +176,82 @@ def _places(shared) -> Callable:
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, _, body, at in K.chunks(batch.column(0)):
-                pair = K.gram_hashes(*K.word_hashes(body, at, _LETTERS), 2)[0]
-                spot = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                total += np.bincount(spot[known[spot] == pair], minlength=len(known))
+                words, first = K.word_hashes(body, at, _LETTERS)
+                for gram in (words, K.gram_hashes(words, first, 2)[0]):
+                    spot = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                    total += np.bincount(spot[known[spot] == gram], minlength=len(known))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
 
     return run
 
 
-def specific(texts: DataFrame, good: DataFrame) -> DataFrame:
-    """(pattern) of those that stand before an identifier in a share of all their places in ``texts``.
+def specific(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, blank) of those that could reach ``CONFIDENCE``, from rows (pattern, hits); blank counts places without an identifier.
 
-    Words as common as ``of the`` stand before anything.  Every pattern is
+    Words as common as ``of the`` stand beside anything: a pattern whose places
+    in ``texts`` are mostly blank stays below the threshold even if all its
+    instances are seeds, so leaving it out loses nothing.  Every pattern is
     tested: their hashes go to the executors in slices, one pass each.
     """
     spark = texts.sparkSession
-    hashed = store(good.select("pattern", "hits").mapInArrow(_hashed, "pattern string, hits long, pair long"), "patterns")
+    hashed = store(patterns.select("pattern", "hits").mapInArrow(_hashed, "pattern string, hits long, gram long"), "patterns")
     many = max(1, -(-hashed.count() // SLICE_PATTERNS))
     counted = None
     for k in range(many):
-        pairs = hashed.where(F.pmod("pair", F.lit(many)) == k).select("pair").distinct().toArrow().column(0).to_numpy().view(np.uint64)
-        if not len(pairs):
+        grams = hashed.where(F.pmod("gram", F.lit(many)) == k).select("gram").distinct().toArrow().column(0).to_numpy().view(np.uint64)
+        if not len(grams):
             continue
-        shared = spark.sparkContext.broadcast(np.sort(pairs))
-        part = texts.mapInArrow(_places(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        shared = spark.sparkContext.broadcast(np.sort(grams))
+        part = texts.mapInArrow(_places(shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
-        return hashed.select("pattern")
-    tested = hashed.join(counted, "pair", "left").where(F.col("hits") >= SPECIFIC * F.coalesce("n", F.lit(0)))
-    return store(tested.select("pattern"), "specific")
+        return store(hashed.select("pattern", F.lit(0).cast("long").alias("blank")), "specific")
+    tested = hashed.join(counted, "gram", "left").withColumn("blank", F.greatest(F.coalesce("n", F.lit(0)) - F.col("hits"), F.lit(0)))
+    return store(tested.where(F.col("hits") >= CONFIDENCE * (F.col("hits") + F.col("blank") + SMOOTH)).select("pattern", "blank"), "specific")
+
+
+def good_patterns(texts: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """(pattern, confidence, support) of high confidence, from rows (pattern, instance, belief), scored in rounds.
+
+    With b the belief in the instance at each place of a pattern, its
+    confidence is sum(b) / (sum(b) + UNKNOWN * sum(1 - b) + blank places +
+    SMOOTH).  An instance is believed as much as it was known at the start, or
+    1 - product(1 - confidence) over its good patterns other than the one that
+    is scored, whichever is more.  Support counts distinct instances that are
+    believed.
+    """
+    needs = F.when(F.col("pattern").contains(" "), F.lit(SUPPORT)).otherwise(F.lit(SUPPORT_ONE))
+    edges = store(mentioned.groupBy("pattern", "instance").agg(F.max("belief").alias("known"), F.count(F.lit(1)).alias("n")), "mentions")
+    candidates = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("most"), F.sum("n").alias("hits")).where(F.col("most") >= needs)
+    kept = specific(texts, candidates)
+    hot = hot_keys(edges, "pattern", edges.count())
+    graph = store(attach(edges, kept, "pattern", hot), "graph")
+    total = graph.count()
+    hot_patterns, hot_instances = hot_keys(graph, "pattern", total), hot_keys(graph, "instance", total)
+    # an instance is what it is wherever it stands
+    known = graph.groupBy("instance").agg(F.max("known").alias("known"))
+    graph = store(attach(graph.drop("known"), known, "instance", hot_instances), "graph")
+    believed = graph.withColumn("belief", F.col("known"))
+    good = None
+    for k in range(ROUNDS):
+        scored = believed.groupBy("pattern").agg(
+            F.sum(F.col("n") * F.col("belief")).alias("yes"),
+            F.sum(F.col("n") * (1 - F.col("belief"))).alias("unknown"),
+            F.sum(F.when(F.col("belief") >= CONFIDENCE, 1).otherwise(0)).alias("support"),
+            F.first("blank").alias("blank"),
+        )
+        confidence = F.col("yes") / (F.col("yes") + UNKNOWN * F.col("unknown") + F.col("blank") + SMOOTH)
+        good = scored.select("pattern", confidence.alias("confidence"), "support").where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= needs))
+        if k < ROUNDS - 1:
+            good = store(good, "good")
+            doubted = attach(graph, good.select("pattern", F.log1p(-F.col("confidence")).alias("doubt")), "pattern", hot_patterns, "left")
+            doubted = store(doubted.withColumn("doubt", F.coalesce("doubt", F.lit(0.0))), "graph")
+            whole = doubted.groupBy("instance").agg(F.sum("doubt").alias("whole"))
+            believed = attach(doubted, whole, "instance", hot_instances).withColumn(
+                "belief", F.greatest("known", 1 - F.exp(F.col("whole") - F.col("doubt")))
+            )
+    return store(good, "good")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -207,10 +262,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     seen = store(given.mapInArrow(_find, f"id {kind}, text_hash long, base {_SPANS}, mentions {_MENTIONS}"), "pii")
-    rows = seen.select("id", "text_hash", F.explode("mentions").alias("m")).select("id", "text_hash", "m.*")
-    good = specific(given.select("text"), good_patterns(rows.select("pattern", "instance", "kind")))
+    each = seen.select("id", "text_hash", F.explode("mentions").alias("m")).select("id", "text_hash", "m.*")
+    rows = each.withColumn("pattern", F.explode("patterns")).drop("patterns")
+    good = good_patterns(given.select("text"), rows.select("pattern", "instance", "belief"))
+    asked = store(rows.where("candidate").select("id", "text_hash", "pattern", "start", "end"), "asked")
+    hits = attach(asked, good.select("pattern", "confidence"), "pattern", hot_keys(asked, "pattern", asked.count()))
     place = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
-    found = rows.where("kind is null").join(good, "pattern").groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(place)).alias("found"))
+    found = hits.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(place)).alias("found"))
     return seen, found
 
 
