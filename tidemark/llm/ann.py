@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .store import store
 
-#: Vectors drawn, by hash of their id, to fit the index; most coarse lists; values of a code.
-SAMPLE, MAX_LISTS, CODES = 65_536, 4096, 256
-#: Dimensions of a code, share of the lists that are probed (and the least number), members reranked in a block.
-SUB_DIMS, PROBE_SHARE, LEAST_PROBES, RERANK = 4, 0.75, 16, 64
+#: Vectors drawn, by hash of their id, to fit the index, and so many for each list (16 at least); most coarse lists, and most numbers in all their centroids; values of a code.
+SAMPLE, MAX_LISTS, CENTROID_NUMBERS, CODES = 1 << 18, 1 << 14, 1 << 24, 256
+#: Dimensions of a code, least number of lists that are probed, members reranked in a block.
+SUB_DIMS, LEAST_PROBES, RERANK = 4, 4, 64
+#: Share of true neighbours whose lists are to be probed, and vectors of the sample on which the number of probes is measured.
+TARGET, TRIALS = 0.98, 256
 #: Members and queries that meet in one block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 SEED = 17
@@ -67,6 +69,29 @@ class Index:
         cuts = [(a, min(dims, a + SUB_DIMS)) for a in range(0, dims, SUB_DIMS)]
         return cls(centroids, [k_means(residual[:, a:b], CODES) for a, b in cuts], cuts)
 
+    def probes(self, x: np.ndarray, k: int, target: float = TARGET) -> int:
+        """How many lists hold ``target`` of the ``k`` nearest neighbours within the sample ``x``, measured on ``TRIALS`` of its rows.
+
+        Clustered vectors need few of the lists, vectors without structure most
+        of them.  In a larger table true neighbours are nearer than within the
+        sample, so that their lists are too.
+        """
+        x = x.astype(np.float32)
+        at = _nearest(x, self.centroids)
+        trial = np.unique(np.linspace(0, len(x) - 1, TRIALS).astype(np.int64))
+        half, norm = (self.centroids**2).sum(axis=1) / 2, (x**2).sum(axis=1) / 2
+        needed = []
+        for lo in range(0, len(trial), 16):
+            mine = trial[lo : lo + 16]
+            far = norm - x[mine] @ x.T
+            far[np.arange(len(mine)), mine] = np.inf
+            near = np.argpartition(far, min(k, len(x) - 1), axis=1)[:, : min(k, len(x) - 1)]
+            order = np.argsort(half - x[mine] @ self.centroids.T, axis=1, kind="stable")
+            place = np.argsort(order, axis=1)
+            needed.append(np.take_along_axis(place, at[near], axis=1).ravel())
+        needed = np.sort(np.concatenate(needed)) if needed else np.zeros(0, np.int64)
+        return int(needed[min(len(needed) - 1, int(target * len(needed)))]) + 1 if len(needed) else 1
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = _nearest(x, self.centroids)
         residual = x - self.centroids[at]
@@ -133,11 +158,14 @@ def _search(shared, k: int, rerank: int) -> Callable:
             far = np.zeros((len(ids), len(m_id)), np.float32)
             for s, table in enumerate(index.tables(x.astype(np.float32), at)):
                 far += table[:, code[:, s]]
-            far[ids[:, None] == m_id[None, :]] = np.inf
+            own = ids[:, None] == m_id[None, :]
+            # beyond float32 a distance is not known here; such members come last, but they come
+            far[~np.isfinite(far)] = np.finfo(np.float32).max
+            far[own] = np.inf
             for row, (name, vector) in enumerate(zip(ids, x, strict=True)):
                 # members stand by id, so a stable order breaks ties by the smaller one
                 best = np.argsort(far[row], kind="stable")[:rerank] if len(m_id) > rerank else np.arange(len(m_id))
-                best = best[np.isfinite(far[row][best])]
+                best = best[~own[row][best]]
                 gap = m[best].astype(np.float64) - vector.astype(np.float64)
                 score = np.sqrt((gap * gap).sum(axis=1))
                 first = np.lexsort((m_id[best], score))[:k]
@@ -189,13 +217,18 @@ def nearest(
     *,
     k: int = 10,
     every: int = 100,
-    probe_share: float = PROBE_SHARE,
+    target: float = TARGET,
+    probe_share: float | None = None,
     rerank: int = RERANK,
+    exact: bool = False,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest by Euclidean distance, ties to the smaller id.
 
     Queries are the rows of ``queries`` (same columns), by default those whose
-    id is divisible by ``every``; a query's own id is no candidate.  Vectors
+    id is divisible by ``every``; a query's own id is no candidate.  As many
+    lists are probed as hold ``target`` of the true neighbours within the
+    sample, or ``probe_share`` of them where it is given.  ``exact`` compares
+    each query with every vector instead.  Vectors
     that are null, zero, or hold a null or non-finite component take no part,
     nor rows without an id; of several vectors of an id the smallest (in array
     order) counts; vectors of another length than most are left out.  All lists
@@ -217,25 +250,33 @@ def nearest(
     dims, rows = counts
     clean = clean.where(F.size("vector") == dims)
     asked = (prepared(queries).where(F.size("vector") == dims) if queries is not None else clean.where(F.col("vec_id") % every == 0))
-    share = min(1.0, SAMPLE / rows)
+    lists = int(max(1, min(MAX_LISTS, CENTROID_NUMBERS // dims, round(rows**0.5))))
+    share = min(1.0, min(SAMPLE, max(1 << 16, 16 * lists)) / rows)
     drawn = clean.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("vector").toArrow()
     sample = _matrix(drawn.column(0).combine_chunks())
     if not len(sample):
         sample = _matrix(clean.select("vector").limit(1).toArrow().column(0).combine_chunks())
-    shared = spark.sparkContext.broadcast(Index.fit(sample, int(min(MAX_LISTS, max(1, round(rows**0.5))))))
-    lists = len(shared.value.centroids)
+    index = Index.fit(sample, 1 if exact else lists)
+    lists = len(index.centroids)
+    shared = spark.sparkContext.broadcast(index)
+    rerank = BLOCK_ROWS * 16 if exact else rerank
+    if exact:
+        probes = lists
+    elif probe_share is not None:
+        probes = max(LEAST_PROBES, round(lists * probe_share))
+    else:
+        probes = max(LEAST_PROBES, index.probes(sample, k, target))
 
     kind = clean.schema["vector"].dataType.simpleString()
     coded = store(clean.mapInArrow(_encode(shared), f"vec_id long, list long, code binary, vector {kind}"), "coded")
     sizes = np.zeros(lists, np.int64)
     for row in coded.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[row["list"]] = row["count"]
-    probes = max(LEAST_PROBES, round(lists * probe_share))
     looks = asked.select("vec_id", "vector").mapInArrow(_probe(shared, sizes, probes, k), f"vec_id long, list long, vector {kind}")
 
     # A list's members are dealt into parts, its queries into slices; each slice meets each part.
     parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    slices = np.maximum(1, np.ceil(sizes / max(1, rows) * probes * (rows / every) / BLOCK_QUERIES).astype(np.int64))
+    slices = np.maximum(1, np.ceil(sizes / max(1, rows) * probes * asked.count() / BLOCK_QUERIES).astype(np.int64))
     shape = spark.createDataFrame(pa.table({"list": np.arange(lists), "parts": parts, "slices": slices}))
     members = coded.join(F.broadcast(shape), "list").select(
         F.lit(0).alias("is_query"), "list", "vec_id", "code", "vector", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"),
