@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, bpe, decontam, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup
 from tidemark.llm import kernels as K
 from tidemark.llm.components import connected, star_forest
+from tidemark.llm.skew import attach, hot_keys
 
 #: Names that operators use inside: they must not clash.
 CLASH = "id long, node long, tag string, text_hash long, size long, runs string, block string, found string, lang_pred string"
@@ -53,6 +54,37 @@ def test_words_and_hashes_follow_the_pattern():
     assert again.tolist() == [names["c"], names["ab"]]
 
 
+def test_hashes_are_not_linear_in_the_bytes():
+    """Thue-Morse strings are equal to any polynomial modulo a power of two."""
+    morse = b"a"
+    while len(morse) < 4096:
+        morse += morse.translate(bytes.maketrans(b"ab", b"ba"))
+    body = np.frombuffer(morse + morse.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    for n in (1, 8, 64, 1024, 2048, 4096):
+        a, b = K.span_hashes(body, np.array([0, 4096]), np.array([n, 4096 + n]))
+        assert a != b
+    rng = random.Random(1)
+    spans = [(s, s + rng.choice([0, 1, 7, 8, 9, 31, 32, 33, 100])) for s in (rng.randrange(7000) for _ in range(3000))]
+    hashes = K.span_hashes(body, np.array([s for s, _ in spans]), np.array([e for _, e in spans]))
+    named: dict = {}
+    for (s, e), h in zip(spans, hashes.tolist(), strict=True):
+        assert named.setdefault(body[s:e].tobytes(), h) == h
+    assert len(set(named.values())) == len(named)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach_equals_a_join(spark, how):
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 0, 0, 1, 2, *range(3, 60), None]), k) for k in range(3000)]
+    left = spark.createDataFrame(rows, "key long, v long")
+    right = spark.createDataFrame([(k, k * 10, None if k % 3 else "x") for k in [0, 2, *range(10, 90)]], "key long, w long, s string")
+    for hot in (hot_keys(left, "key", 3000), hot_keys(left, "key", 3000).where("false"), hot_keys(left, "key", 0)):
+        got = attach(left, right, "key", hot, how).collect()
+        want = left.join(right, "key", how).select("key", "v", "w", "s").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert hot_keys(left, "key", 10**6).collect() == []
+
+
 def test_columns_with_offsets_nulls_and_slices():
     column = pa.array(["xx", None, "yé", ""]).slice(1)
     body, at = K.utf8_rows(column)
@@ -157,6 +189,35 @@ def test_neighbours_have_exact_scores_and_recall(spark):
     assert got[got["query_id"] == 200].sort_values("rank")["vec_id"].tolist() == [7, *range(201, 210)]
 
 
+def test_probes_follow_the_data(spark):
+    """Few lists where vectors are clustered; the exact search equals brute force."""
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(60, 32))
+    x = centers[rng.integers(0, 60, 4000)] + 0.2 * rng.normal(size=(4000, 32))
+    index = ann.Index.fit(x, 63)
+    assert index.probes(x, 10) <= 6
+    noise = rng.normal(size=(4000, 32))
+    assert ann.Index.fit(noise, 63).probes(noise, 10) > 20
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def found(**options):
+        return {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, **options).collect()}
+
+    want = {}
+    for q in range(0, 4000, 100):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        want |= {(q, k + 1): int(v) for k, v in enumerate(np.argsort(far)[:10])}
+    assert found(exact=True) == want
+    got = found()
+    assert sum(got[k] == v for k, v in want.items()) / len(want) >= 0.9
+
+
+def test_vectors_beyond_single_precision(spark):
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e30, 1e25]), (2, [-1e30, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.nearest(df).orderBy("rank").collect()] == [1, 3, 2]
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 4.0])], schema)
@@ -201,22 +262,64 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <header><h2>Site name here</h2></header><nav><ul><li><a href="/a">Home page</a></li></ul></nav><div class="cookie-notice"><p>We use cookies a lot.</p></div>
 <!-- ad --><div class="ad">Buy this now please</div>
 <article><h1>Title &amp; more</h1><p>First   line<br>goes on.</p><form><input>Your name</form><p><b>Second</b> one &#233;.<p>No end tag
-<div class="related">Other stories</div><blockquote>Quoted words</blockquote><p>x</p></article>
+<div class="related">Other stories</div><blockquote>Quoted words of someone who had a good deal more to say about all of this than others did</blockquote><p>x</p></article>
 <aside>Side words here</aside><section id="comments"><p>Great post, thanks for all of it!</p></section><footer>&copy; owner</footer></body></html>"""
 
 
+def site_page(rng, main: str = "article", ad: str = ' class="ad"', nested: bool = False) -> tuple[str, str]:
+    """A page of a made-up site, and its main text."""
+    title, body = prose(rng, rng.randint(3, 9)), [prose(rng, rng.choice([1, 4, 30, 80])) for _ in range(rng.randint(2, 6))]
+    links = "".join(f"<li><a href='/{k}'>{prose(rng, 2)}</a></li>" for k in range(rng.randint(3, 9)))
+    related = f'<div class="related box">{prose(rng, 12)}</div>'
+    blocks = [f"<p>{x}</p>" for x in body]
+    blocks.insert(1, related if nested else "")
+    page = (
+        f"<html><head><title>{title}</title><script>if (a < b) x()</script></head><body><div class='top'><h2>{prose(rng, 3)}</h2><ul>{links}</ul></div><div{ad}>{prose(rng, 7)}</div>"
+        f"<{main}><h1>{title}</h1>{''.join(blocks)}</{main}>{'' if nested else related}<div class='foot'>&copy; {prose(rng, 9)}</div></body></html>"
+    )
+    return page, "\n".join([title, *body])
+
+
 def test_main_text(spark):
-    want = "Title & more\nFirst line goes on.\nSecond one é.\nNo end tag\nQuoted words\nx"
-    plain = "<html><body><div class='menu'>a b c d e f</div><div><p>Body text of a page without labels.</p><p>More of it.</p></div></body></html>"
-    rows = [(k, f"u{k}", PAGE) for k in range(5)] + [(10, None, None), (11, "u", ""), (12, "u", "<p>"), (13, "u", plain), (14, "u", "just words"), (None, "u", PAGE)]
+    want = "Title & more\nFirst line goes on.\nSecond one é.\nNo end tag\nQuoted words of someone who had a good deal more to say about all of this than others did\nx"
+    rng = random.Random(41)
+    site = [(100 + k, f"s{k}", site_page(rng)[0]) for k in range(60)]
+    rows = [(k, f"u{k}", PAGE) for k in range(5)] + [(10, None, None), (11, "u", ""), (12, "u", "<p>"), (14, "u", "just words"), (None, "u", PAGE), *site]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, id int")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_main.main_text(df).collect()}
     assert got[0] == ("u0", want, len(want)) and got[None][1] == want
     assert got[10] == (None, "", 0) and got[11][1] == "" and got[12][1] == "" and got[14][1] == "just words"
-    assert got[13][1] == "Body text of a page without labels.\nMore of it."
     assert html_main.main_text(df.where("false")).count() == 0
 
 
+def test_weights_of_labelled_pages_serve_pages_without_labels():
+    """The scan alone finds the main text where neither article nor class names tell it; without it nothing does."""
+    rng = random.Random(7)
+    weights = html_main.fit_pages([site_page(rng)[0] for _ in range(300)])
+    stripped = [site_page(rng, "div", "") for _ in range(200)]
+    stripped = [(re.sub(r" class='[a-z]+'| class=\"[a-z ]+\"", "", page), text) for page, text in stripped]
+    assert sum(html_main.extract(page, weights) == text for page, text in stripped) >= 190
+    blank = [" ".join(html_main.extract(page, html_main.Weights()).split()) for page, _ in stripped]
+    assert sum(a == " ".join(text.split()) for a, (_, text) in zip(blank, stripped, strict=True)) < 20
+    # boilerplate inside the main text goes by what other pages have beside theirs
+    nested = [site_page(rng, "div", ' class="ad"', nested=True) for _ in range(100)]
+    assert sum(html_main.extract(page, weights) == text for page, text in nested) >= 95
+
+
+def test_best_stretch_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        scores = [rng.choice([-3, -1, 0, 1, 2]) for _ in range(rng.randint(0, 12))]
+        sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        lo, hi = html_main.best_stretch(scores)
+        assert sum(scores[lo:hi]) == max([0, *sums.values()])
+
+
+def test_a_very_long_page():
+    page = "<html><body><nav>" + "<a>x</a>" * 1000 + "</nav><div>" + "<p>some words of a page</p>" * 40_000 + "</div></body></html>"
+    assert html_main.extract(page, html_main.fit_pages([PAGE])).count("\n") == 39_999
+
+
 # 5 --------------------------------------------------------------------------------
 
 
@@ -462,6 +565,39 @@ def test_personal_data(spark):
     assert pii.detect(table(spark, [])).count() == 0
 
 
+def test_identifiers_that_no_base_pattern_knows(spark):
+    """Customer numbers, passport numbers and keys beside words that stand beside seeds elsewhere are found; like tokens elsewhere are not."""
+    rng = random.Random(77)
+    leads = ["my account no", "passport", "reach me under", "client id"]
+    seeds = [lambda: f"user{rng.randrange(10**6)}@mail.example.org", lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", lambda: f"{rng.randrange(1, 255)}.{rng.randrange(255)}.7.9"]
+    rows, want = [], {}
+    for k in range(400):
+        before = f"{prose(rng, 12)} {rng.choice(leads)}: "
+        rows.append((k, before + rng.choice(seeds)() + " " + prose(rng, 12)))
+    for k in range(400, 460):
+        before, token = f"{prose(rng, 12)} {rng.choice(leads)}: ", f"{rng.choice('KXQ')}{rng.randrange(10**7, 10**8)}"
+        rows.append((k, f"{before}{token} {prose(rng, 12)}"))
+        want[k] = f"id:{len(before)}:{len(before) + len(token)}"
+    for k in range(460, 560):  # part numbers and dates in plain prose
+        rows.append((k, f"{prose(rng, 15)} {rng.choice(['PN-1234567', '2024-05-17', 'ISO9001x'])}{rng.randrange(10)} {prose(rng, 15)}"))
+    for k in range(560, 600):  # keys in a known format teach what stands before them
+        key = f"{rng.getrandbits(160):040x}"
+        rows.append((k, f"{prose(rng, 10)} secret = \"{key}\" {prose(rng, 5)}"))
+    rows.append((600, 'then secret = "tr0ub4dor" end'))
+    want[600] = "id:15:24"
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("id:")] for r in pii.detect(table(spark, rows)).collect()}
+    caught = sum(w in got[k] for k, w in want.items())
+    assert caught / len(want) >= 0.95 and want[600] in got[600]
+    assert not any(got[k] for k in range(560) if k not in want)
+
+
+def test_contexts_have_no_length_limit():
+    text = "alpha" + " " * 500 + "beta" + "-" * 300 + "AB-1234567" + "." * 400 + "gamma delta"
+    at = text.index("AB-")
+    assert pii.contexts(text, at, at + 10) == ["l:beta", "l:alpha beta", "r:gamma", "r:gamma delta"]
+    assert pii.contexts("a 1 AB-12345 2 b", 4, 12) == [] and pii.contexts("É one\nAB-12345\nx", 6, 14) == []
+
+
 def test_every_confident_pattern_is_tested(spark, monkeypatch):
     """However many contexts qualify, each one's identifiers are found, those of least support too."""
     monkeypatch.setattr(pii, "SLICE_PATTERNS", 2)
