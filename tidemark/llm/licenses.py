@@ -8,6 +8,7 @@ each with at most e edits and gives the span.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Callable, Iterator
 
@@ -83,29 +84,39 @@ def _phrases(base: tuple[tuple[str, str], ...]):
 
 
 def fuzzy_spans(low: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) of notices in lower-cased text; the best of overlapping ones of a notice."""
+    """(start, end, label, edits) of notices in lower-cased text; of overlapping places of a notice that with fewest edits, then the first.
+
+    Each seed is verified by itself: a match that holds it stands within the
+    notice's length and its edits around it, and a window of that size has room
+    for no second one beside it.
+    """
     machine, patterns = _machine(notices)
-    regions: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for last, (size, places) in machine.iter(low):
         for k, offset in places:
             notice = notices[k][0]
             e = edits(notice)
             begin = last - size + 1 - offset
-            lo, hi = max(0, begin - e), min(len(low), begin + len(notice) + e)
-            mine = regions.setdefault(k, [])
-            if mine and lo <= mine[-1][1]:
-                mine[-1][0] = min(mine[-1][0], lo)
-                mine[-1][1] = max(mine[-1][1], hi)
-            else:
-                mine.append([lo, hi])
+            windows.setdefault(k, set()).add((max(0, begin - e), min(len(low), begin + len(notice) + e)))
     out = []
-    for k, mine in regions.items():
-        for lo, hi in mine:
-            for m in patterns[k].finditer(low, lo, hi):
-                out.append((m.start(), m.end(), notices[k][1], sum(m.fuzzy_counts)))
+    for k, mine in windows.items():
+        found = {(sum(m.fuzzy_counts), m.start(), m.end()) for lo, hi in mine if (m := patterns[k].search(low, lo, hi)) is not None}
+        out += [(a, b, notices[k][1], e) for e, a, b in apart(found)]
     return sorted(set(out))
 
 
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of places that do not overlap, those of fewest edits first, then the first."""
+    kept: list[tuple[int, int]] = []  # in order of place
+    out = []
+    for e, a, b in sorted(found):
+        k = bisect.bisect_left(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+            kept.insert(k, (a, b))
+            out.append((e, a, b))
+    return out
+
+
 def _scan(base, notices) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = _phrases(base)
