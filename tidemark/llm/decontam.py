@@ -56,7 +56,13 @@ class Index:
 
 
 def passages(index: Index, body: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(row, item, first word, words) of stretches that share n-grams with an item."""
+    """(row, item, first word, words) of stretches that share n-grams with an item.
+
+    An alignment that scores half of its item or more spans at most twice the
+    item's words.  Longer stretches, as where a text repeats an item, come as
+    windows of four times the item, every two times the item: each such
+    alignment lies in one.
+    """
     words, first = K.word_hashes(body, at, SEPARATORS)
     gram, of_row = K.gram_hashes(words, first, SEED_WORDS)
     met = np.flatnonzero(index.filter[gram >> np.uint64(64 - _FILTER_BITS)])
@@ -80,7 +86,10 @@ def passages(index: Index, body: np.ndarray, at: np.ndarray) -> Iterator[tuple[i
         pad = int(size[a]) // 4 + 2
         lo_word = max(0, int(begin.min()) - pad)
         hi_word = min(int(first[row[a] + 1] - first[row[a]]), int(begin.max() + size[a]) + pad)
-        yield int(row[a]), int(item[a]), lo_word, words[first[row[a]] + lo_word : first[row[a]] + hi_word]
+        stride = 2 * max(1, int(size[a]))
+        for at_word in range(lo_word, max(lo_word + 1, hi_word - stride), stride):
+            to = min(hi_word, at_word + 2 * stride)
+            yield int(row[a]), int(item[a]), at_word, words[first[row[a]] + at_word : first[row[a]] + to]
 
 
 def reachable(item: np.ndarray, text: np.ndarray, least: float) -> bool:
