@@ -22,13 +22,13 @@ def attach(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str
     ``hot`` has the keys, bounded in number (see ``hot_keys``), whose rows are
     not brought together: they get their values from a broadcast of those keys
     alone, and go through the join of the others dealt by a salt that nothing
-    there matches.
+    there matches.  So do rows without a key.
     """
     values = [c for c in table.columns if c != key]
     hot = hot.select(F.col(key).alias("__h"))
     few = hot.join(table, hot["__h"] == table[key], "left").select("__h", F.when(F.col(key).isNotNull(), F.struct(*values)).alias("__v"))
     marked = rows.join(F.broadcast(few), rows[key] == few["__h"], "left")
-    salt = F.when(F.col("__h").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int") + 1)
+    salt = F.when(F.col("__h").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int") + 1)
     marked = marked.withColumn("__s", salt)
     rest = table.select(F.col(key).alias("__k"), F.struct(*values).alias("__t"), F.lit(0).alias("__z"))
     out = marked.join(rest, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__z")), "left")
