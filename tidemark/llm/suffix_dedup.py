@@ -5,7 +5,8 @@ places have to be compared is decided by content alone: of the ``anchor``-byte
 strings in a window of ``length`` bytes, the one with the smallest hash is the
 window's anchor, and equal windows have equal anchors.  A document falls into
 segments, the stretches whose windows share an anchor.  Segments meet by
-anchor; equal ones collapse to one with a count.
+anchor; equal ones collapse to one with a count, and those that occur twice
+are repeated as a whole.
 
 Where different segments share an anchor, their bytes are joined to a text of
 bounded size, and the expansion runs on its Burrows-Wheeler transform: from
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .skew import HOT_KEYS, attach, hot_keys
 from .store import discard, store
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 200, 64
-#: Bytes of a transform, about; occurrences of an anchor beyond which its windows are counted one by one, over all tasks.
+#: Bytes of a transform, about; different segments of an anchor beyond which they would outgrow one text: their windows are counted one by one, over all tasks.
 TEXT_BYTES, HOT = 1 << 20, 8192
 
 
@@ -250,37 +252,46 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``tag`` tells rows with one id but different texts apart; equal rows repeat
     each other like any two.  Runs may overlap.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    cut = store(given.mapInArrow(_segment_rows, f"id {kind}, tag int, a int, e int, h long, c long"), "segments")
+    cut = store(given.mapInArrow(_segment_rows, f"id {kind}, tag long, a int, e int, h long, c long"), "segments")
     groups = cut.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
     groups = store(groups.select("h", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    met = store(cut.join(groups, "h"), "met")
+    # an anchor, or a segment, that stands in a share of all texts is looked up by broadcast
+    often = max(1, -(-cut.count() // HOT_KEYS))
+    met = store(attach(cut, groups, "h", groups.where(F.col("n") >= often).select("h")), "met")
     discard(cut)
 
     # One segment for all equal ones, with the place of one of them to fetch its bytes.
     place = F.min(F.struct("id", "tag", "a", "e")).alias("at")
-    kinds = met.where("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), place)
-    kinds = kinds.select("h", "c", "copies", "n", F.col("at.id").alias("i"), F.col("at.tag").alias("t"), "at.a", "at.e")
+    kinds = met.where("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), place)
+    kinds = kinds.select("h", "c", "copies", F.col("at.id").alias("i"), F.col("at.tag").alias("t"), "at.a", "at.e")
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))
     fetched = given.join(kinds.hint("shuffle_hash"), same)
-    fetched = fetched.select("h", "c", "copies", "n", F.expr("substring(cast(text as binary), a + 1, e - a)").alias("bytes"))
+    fetched = fetched.select("h", "c", "copies", F.expr("substring(cast(text as binary), a + 1, e - a)").alias("bytes"))
     fetched = store(fetched, "kinds")
-    few = fetched.where(F.col("n") <= HOT).select("h", "c", "copies", "bytes").repartition("h").sortWithinPartitions("h")
-    found = few.mapInArrow(_transforms, "h long, c long, runs array<struct<s: int, e: int>>")
-    hot = fetched.where(F.col("n") > HOT).select("h", "c", "copies", "bytes")
-    found = found.unionByName(_hot(hot))
+    few, found = fetched, None
+    crowded = store(fetched.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "crowded")
+    if not crowded.isEmpty():
+        told = store(attach(fetched, crowded, "h", hot_keys(fetched, "h", fetched.count()), "left"), "kinds")
+        few, found = told.where("n is null"), _hot(told.where("n is not null"))
+    few = few.select("h", "c", "copies", "bytes").repartition("h").sortWithinPartitions("h")
+    settled = few.mapInArrow(_transforms, "h long, c long, runs array<struct<s: int, e: int>>")
+    found = settled if found is None else settled.unionByName(found)
 
     whole = F.array(F.struct(F.col("a").alias("s"), F.col("e").alias("e")))
     shifted = F.transform("runs", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"]).alias("e")))
     every = met.where("not mixed").select("id", "tag", whole.alias("runs"))
-    every = every.unionByName(met.where("mixed").join(found, ["h", "c"]).select("id", "tag", shifted.alias("runs")))
+    key = F.struct("h", "c").alias("hc")
+    found = found.select(key, "runs")
+    mixed = attach(met.where("mixed").select("id", "tag", "a", key), found, "hc", fetched.where(F.col("copies") >= often).select(key))
+    every = every.unionByName(mixed.select("id", "tag", shifted.alias("runs")))
     every = every.select(F.col("id").alias("i"), F.col("tag").alias("t"), F.explode("runs").alias("r")).groupBy("i", "t").agg(F.collect_set("r").alias("runs"))
     return given.join(every.hint("shuffle_hash"), same, "left").select("id", "tag", "text", "runs")
 
 
 def _hot(hot: DataFrame) -> DataFrame:
-    """Repeated stretches of the kinds of anchors that are too frequent for one text: their windows are counted by hash."""
+    """Repeated stretches of the segments of anchors with too many different ones for one text: their windows are counted by hash."""
     windows = hot.mapInArrow(_windows, "w long, h long, c long, s int")
     twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     some = windows.join(twice, "w").groupBy("h", "c").agg(F.collect_set("s").alias("starts"))
