@@ -256,6 +256,38 @@ def test_license_notices_with_edits():
     assert licenses.fuzzy_spans("the weather is fine today and nothing is licensed", notices) == []
 
 
+def test_every_notice_is_found_beside_a_better_one():
+    notices = tuple(licenses.NOTICES.items())
+    both = licenses.fuzzy_spans("released under teh mit license released under the mit license", notices)
+    assert [(x[2], x[3]) for x in both] == [("mit", 2), ("mit", 0)]
+    assert len(licenses.fuzzy_spans("all rights reservd. all rights reserved. all right reserved", notices)) == 3
+
+
+def test_notice_spans_equal_a_search_of_all_windows():
+    """Seeds lose no place: every window of the text, seed or not, gives the same spans."""
+    rng = random.Random(19)
+    notices = (("mozilla public license", "mpl"), ("all rights reserved", "reserved"))
+    patterns = licenses._machine(notices)[1]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            notice = list(rng.choice(notices)[0])
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "q"])
+            words += ["".join(notice), "".join(rng.choices("ab lice", k=rng.randint(0, 9)))]
+        low = " ".join(words)
+        want = []
+        for (notice, label), pattern in zip(notices, patterns, strict=True):
+            wide = len(notice) + 2 * licenses.edits(notice)
+            found = {(sum(m.fuzzy_counts), m.start(), m.end()) for lo in range(len(low)) if (m := pattern.search(low, lo, lo + wide))}
+            want += [(a, b, label, e) for e, a, b in licenses.apart(found)]
+        got = licenses.fuzzy_spans(low, notices)
+        # where edits tie, a window may cut a match a character short: places and edits are the same
+        assert [(x[2], x[3]) for x in got] == [(x[2], x[3]) for x in sorted(want)], low
+        assert all(any(a < d and c < b for c, d, *_ in want) for a, b, *_ in got)
+
+
 # 4 --------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -420,6 +452,44 @@ def test_edited_copies_are_found_beside_full_ones(spark):
     assert set(got) == {0, 1, 2, 10} and 0.7 <= got[10] < 0.75
 
 
+def test_leaks_equal_an_alignment_of_everything(spark):
+    """Against the recurrence over each whole document and each item that shares four words in a row."""
+    rng = random.Random(6)
+    items = [(k, prose(rng, rng.randint(4, 25), 60)) for k in range(8)]
+    rows = [(k, f"{prose(rng, 15, 60)} {edited(rng, items[k % 8][1], rng.choice([0, 0.1, 0.3]))} {prose(rng, 15, 60)}") for k in range(40)]
+    low = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for k, t in rows}
+    item_words = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for k, t in items}
+
+    def grams(w):
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+    def score(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+            row = new
+            best = max(best, *row)
+        return best / (2 * len(a))
+
+    want = {(d, i): s for d, w in low.items() for i, x in item_words.items() if grams(w) & grams(x) and (s := score(x, w)) >= 0.5}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_text_that_repeats_an_item_is_aligned_in_windows():
+    rng = random.Random(4)
+    item = prose(rng, 10, 3000)
+    index = decontam.Index.build([1], pa.array([item]))
+    body, at = K.utf8_rows(pa.array([" ".join([item] * 20_000)]))
+    found = list(decontam.passages(index, body, at))
+    assert max(len(x[3]) for x in found) <= 40 and len(found) >= 5000
+    best, _ = decontam.align([index.words] * 3, [x[3] for x in found[:3]])
+    assert best.tolist() == [20, 20, 20]
+
+
 def test_passages_left_unaligned_cannot_score():
     rng = random.Random(8)
     for _ in range(200):
@@ -495,6 +565,19 @@ def test_near_duplicates_do_not_depend_on_common_grams(spark, monkeypatch):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_sparse_product_equals_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 40, 120).astype(np.uint64)
+        lose = [rng.choice([0.02, 0.1, 0.5]) for _ in range(rng.integers(2, 30))]
+        sets = [np.unique(np.concatenate((base[rng.random(120) > x], rng.integers(0, 1 << 40, rng.integers(1, 20)).astype(np.uint64)))) for x in lose]
+        index = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        percent = int(rng.choice([50, 80, 90]))
+        got = set(zip(*map(np.ndarray.tolist, jaccard.block_links(np.concatenate(sets), index, percent)), strict=True))
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+        assert got == {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))}
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = random.Random(11)
     for percent in (50, 80, 90):
