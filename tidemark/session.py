@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,9 +34,33 @@ def with_instants(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
 
-#: Rows of an Arrow batch unless the session says otherwise: Spark's own number bounds no bytes, and rows here are whole texts.
-ARROW_ROWS = 1000
+_folders: dict[str, str] = {}
+
+
+def workspace(spark: SparkSession) -> str:
+    """A folder that driver and executors share: this application's in ``spark.checkpoint.dir``; a temporary one where that is unset in a local session."""
+    app = spark.sparkContext.applicationId
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named.rstrip('/')}/work-{app}"
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if app not in _folders:
+        _folders[app] = tempfile.mkdtemp(prefix="work-")
+    return _folders[app]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the workspace and read again: what several steps need is computed once, and a lost executor costs a re-read."""
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes and rows of an Arrow batch unless the session says otherwise: rows here are whole texts, and Spark's own limit is of rows alone.
+ARROW_BYTES, ARROW_ROWS = 8 << 20, 1000
 _ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BYTES_KEY, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _shipped: set[str] = set()
 
@@ -43,8 +68,11 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session: they need not have it installed nor on their path.
 
-    Also lowers the rows of an Arrow batch where the session left Spark's default.
+    Also bounds the bytes and rows of an Arrow batch where the session left
+    Spark's defaults; the settings stay with the session.
     """
+    if spark.conf.get(_BYTES_KEY, _BYTES_DEFAULT) == _BYTES_DEFAULT:
+        spark.conf.set(_BYTES_KEY, str(ARROW_BYTES))
     if spark.conf.get(_ARROW_KEY, _ARROW_DEFAULT) == _ARROW_DEFAULT:
         spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
