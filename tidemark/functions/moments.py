@@ -29,6 +29,26 @@ def twelve_hour(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd hh:mm:ss a")
 
 
+def from_twelve_hour(text: Column) -> Column:
+    """The instant of ``2024-01-31 04:05:06 PM``, null for any other form."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd hh:mm:ss a"))
+
+
+def epoch(at: Column) -> Column:
+    """Whole seconds since 1970."""
+    return F.unix_timestamp(at)
+
+
+def of_epoch(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds)
+
+
+def as_utc(naive: Column, fill: Column | None = None) -> Column:
+    """A zone-less time read as UTC, with ``fill`` where it is null."""
+    at = naive.cast("timestamp")
+    return at if fill is None else F.coalesce(at, fill)
+
+
 def date_prefix(text: Column) -> Column:
     """The date a text begins with, null without one."""
     return F.nullif(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))

@@ -17,8 +17,8 @@ def clean(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words of the cleaned text of more than one character."""
-    return F.filter(F.split(clean(text), " "), lambda w: F.length(w) > 1)
+    """Words of the cleaned text of more than one character; split in one pass, at punctuation and white space alike."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s!-/:-@\[-`{-~]+"), lambda w: F.length(w) > 1)
 
 
 def word_set(text: Column) -> Column:
@@ -129,3 +129,38 @@ def sentence_chunks(text: Column, size: int = 300) -> Column:
     return F.flatten(
         F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size))))
     )
+
+
+def json_object(text: Column, kind: str) -> Column:
+    """Tolerant parse of an object: as it is, then without what stands around its braces, then with trailing commas and single quotes mended (2.10).
+
+    Null if none of the three reads.
+    """
+    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    mended = F.regexp_replace(inner, r",(\s*[}\]])", "$1")
+    mended = F.when(F.contains(mended, F.lit('"')), mended).otherwise(F.translate(mended, "'", '"'))
+
+    def parsed(c: Column) -> Column:
+        fits = F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{")
+        return F.when(fits, F.from_json(c, kind))
+
+    return F.coalesce(parsed(text), parsed(inner), parsed(mended))
+
+
+def part_text(kind: Column, value: Column) -> Column:
+    """One typed part of a message: text as it is, an image or a file by its id, others by their type (2.10)."""
+    named = {"image_url": "Image", "file_uri": "File", "google_cloud_file_uri": "Cloud File"}
+    out = F.when(kind == "text", F.coalesce(value, F.lit("")))
+    for name, label in named.items():
+        out = out.when(kind == name, F.concat(F.lit(f"[{label}: "), F.coalesce(value, F.lit("")), F.lit("]")))
+    return out.otherwise(F.concat(F.lit("[Unknown content type: "), F.coalesce(kind, F.lit("")), F.lit("]")))
+
+
+def parts_text(parts: Column) -> Column:
+    """The typed parts (type, value) of a message, one a line, trimmed."""
+    return F.trim(F.array_join(F.transform(parts, lambda p: part_text(p["type"], p["value"])), "\n"))
+
+
+def first_tokens(text: Column, most: int) -> Column:
+    """Text cut to ``most`` tokens at the store's four characters each (2.10)."""
+    return F.substring(text, 1, most * 4)

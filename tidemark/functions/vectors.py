@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(fits, 1 - F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
+def distance_to(v: Column, query: list[float]) -> Column:
+    """``cosine_distance`` to one vector, a single array literal whose norm is known beforehand."""
+    length = math.sqrt(math.fsum(x * x for x in query))
+    whole = F.lit(query) if query else F.array().cast("array<double>")
+    return F.when(F.size(v) == len(query), 1 - F.try_divide(dot(v, whole), norm(v) * F.lit(length)))
+
+
 def padded(v: Column, dims: int = MAX_DIMS) -> Column:
     """Zero-padded to ``dims``: changes neither dot products nor norms; a longer vector is an error."""
     too_long = F.raise_error(F.lit(f"a vector has more than {dims} dimensions")).cast("array<float>")
@@ -50,6 +58,11 @@ def parse_text(text: Column) -> Column:
     return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
 
 
+def to_base64(vector: list[float]) -> str:
+    """The form that ``from_base64`` reads."""
+    return base64.b64encode(np.asarray(vector, "<f4").tobytes()).decode()
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_base64(text: pd.Series) -> pd.Series:
     """Little-endian float32 bytes in base64 (1.2)."""

@@ -99,6 +99,11 @@ def in_asked_order(df: DataFrame, key: str, ids: Sequence[Any], partial: bool =
     return df.join(asked, key).orderBy("position")
 
 
+def missing(asked: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """Ids that were asked for and aren't there, once each (2.8 #8)."""
+    return asked.select(key).distinct().join(df.select(key), key, "left_anti")
+
+
 def with_any_tag(df: DataFrame, bridge: DataFrame, key: str, tags: Sequence[str], tag: str = "tag") -> DataFrame:
     """Rows with at least one of the tags, once each (2.3 #2)."""
     return df.join(bridge.where(F.col(tag).isin(list(tags))), key, "left_semi")

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Media types by extension.
+# Media types by extension, of the file store and of uploads.
+STORED_MIME = {
+    "txt": "text/plain", "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "json": "application/json", "csv": "text/csv", "xml": "application/xml",
+    "html": "text/html", "md": "text/markdown",
+}
 MIME = {
-    "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html", "json": "application/json", "xml": "application/xml",
-    "yaml": "application/x-yaml", "yml": "application/x-yaml", "pdf": "application/pdf", "doc": "application/msword",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xls": "application/vnd.ms-excel",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "ppt": "application/vnd.ms-powerpoint",
-    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg",
-    "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "zip": "application/zip",
-    "py": "text/x-python", "js": "text/javascript",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml",
+    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "txt": "text/plain", "rtf": "application/rtf", "html": "text/html", "htm": "text/html",
+    "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "csv": "text/csv",
+    "ppt": "application/vnd.ms-powerpoint", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "json": "application/json", "xml": "application/xml", "zip": "application/zip",
 }
 DEFAULT_MIME = "application/octet-stream"
 
@@ -31,11 +35,26 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def mime_type(path: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
+def mime_type(path: Column, types: dict[str, str] = MIME) -> Column:
+    """The media type by extension: of an upload, or with ``STORED_MIME`` as the file store has it (2.1 #8, #9)."""
+    table = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit(DEFAULT_MIME))
 
 
+def by_time(files: DataFrame, newest_first: bool = True) -> DataFrame:
+    """Files by modification time, ties by path (2.7 #8)."""
+    at = F.col("modified").desc_nulls_last() if newest_first else F.col("modified").asc_nulls_last()
+    return files.orderBy(at, "path")
+
+
+def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A table of a database over JDBC, read in ``parts`` ranges of a key where its bounds are given (2.1 #2); the driver's jar is the caller's."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if key and bounds:
+        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return reader.load()
+
+
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, name, size, modified, type, content) of files (2.1 #6, #8, 2.7 #8)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -44,7 +63,7 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     df = reader.load(path)
     return df.select(
         "path", base_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        mime_type(F.col("path")).alias("type"), "content",
+        mime_type(F.col("path"), STORED_MIME).alias("type"), "content",
     )
 
 
@@ -61,21 +80,21 @@ def data_uri(path: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), image, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
-def export_union(stores: dict[str, DataFrame], created: str = "created_at") -> DataFrame:
+def export_union(stores: dict[str, DataFrame], created: str = "created_at", include_embeddings: bool = False) -> DataFrame:
     """All stores in one table by column name, with memory_type; by type, the newest first by the time's text (2.1 #11, 2.8 #2)."""
     out = None
     for name, df in stores.items():
-        part = flattened(df).withColumn("memory_type", F.lit(name))
+        part = flattened(df, include_embeddings).withColumn("memory_type", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.orderBy("memory_type", F.col(created).cast("string").desc_nulls_last())
 
 
-def flattened(df: DataFrame) -> DataFrame:
-    """Nested columns as JSON, times in ISO form, vectors left out (2.1 #13)."""
+def flattened(df: DataFrame, include_embeddings: bool = False) -> DataFrame:
+    """Nested columns as JSON, times in ISO form, vectors left out or as JSON too (2.1 #13)."""
     out = []
     for field in df.schema.fields:
         kind = field.dataType.simpleString()
-        if kind in ("array<float>", "array<double>"):
+        if kind in ("array<float>", "array<double>") and not include_embeddings:
             continue
         column = F.col(field.name)
         if kind.startswith(("array", "map", "struct")):

@@ -66,6 +66,38 @@ def upload_state(status: Column, started: Column, now: Column, timeout_s: int =
     return F.when((status == "pending") & (now - started >= F.expr(f"interval {timeout_s} seconds")), F.lit("failed")).otherwise(status)
 
 
+def upload_stream(uploads: DataFrame, key: str, time: str, status: str = "status", timeout_s: int = TIMEOUT_S) -> DataFrame:
+    """(key, status) of a stream of uploads: what is still pending ``timeout_s`` after it was seen first fails by a timer (2.9 #9).
+
+    The timer goes by event time, so a rerun gives the same; state is dropped
+    as soon as an upload has ended.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = dict(uploads.dtypes)[key]
+
+    def run(name, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [name[0]], status: ["failed"]})
+            return
+        rows = pd.concat(parts).sort_values(time)
+        ended = rows[rows[status] != "pending"]
+        if len(ended):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({key: [name[0]], status: [ended[status].iloc[0]]})
+        elif not state.exists:
+            began = int(rows[time].iloc[0].timestamp() * 1000)
+            state.update((began,))
+            state.setTimeoutTimestamp(max(began + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.setTimeoutTimestamp(max(state.get[0] + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+
+    held = uploads.withWatermark(time, "0 seconds").groupBy(key)
+    return held.applyInPandasWithState(run, f"{key} {kind}, {status} string", "began long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def usable_images(images: Column, done: str = "completed") -> Column:
     """Images that failed or are unknown dropped from an item (2.9 #7)."""
     return F.filter(images, lambda x: F.coalesce(x["status"] == done, F.lit(False)))

@@ -31,6 +31,55 @@ def pending(frames: DataFrame, status: str, code: int, time_col: str, key: str,
     return frames.where(F.col(status) == code).orderBy(F.col(time_col).asc_nulls_last(), F.col(key).asc_nulls_last()).limit(limit)
 
 
+def claim(frames: DataFrame, status: str, time_col: str, key: str, limit: int = 10, codes: Codes = Codes(), done: int | None = None) -> DataFrame:
+    """The table with its oldest ``limit`` pending rows claimed (2.9 #2): from pending to reading, of the second stage from read to describing."""
+    taken = pending(frames, status, codes.pending, time_col, key, limit).select(key, F.lit(True).alias("_taken"))
+    # at most ``limit`` rows
+    marked = frames.join(F.broadcast(taken), key, "left")
+    return marked.withColumn(status, F.when(F.col("_taken"), F.lit(codes.reading if done is None else done)).otherwise(F.col(status))).select(*frames.columns)
+
+
+def released(frames: DataFrame, status: str, claimed_at: str, now: Column, seconds: int, codes: Codes = Codes()) -> DataFrame:
+    """Claims older than ``seconds`` given back, as those of a worker that was lost."""
+    late = (F.col(status) == codes.reading) & (now - F.col(claimed_at) >= F.expr(f"interval {seconds} seconds"))
+    return frames.withColumn(status, F.when(late, F.lit(codes.pending)).otherwise(F.col(status)))
+
+
+def process(frames: DataFrame, status: str, result: Column, codes: Codes = SIMPLE) -> DataFrame:
+    """The processor with one stage: pending rows become done, or failed where the result is null (2.9 #4)."""
+    open_rows = F.col(status) == codes.pending
+    return frames.withColumn("result", F.when(open_rows, result)).withColumn(
+        status, F.when(open_rows, F.when(result.isNull(), F.lit(codes.failed)).otherwise(F.lit(codes.read))).otherwise(F.col(status))
+    )
+
+
+def machine_stream(stream: DataFrame, key: str, event: str, place: str, codes: Codes = Codes()) -> DataFrame:
+    """(key, status) after each trigger, from a stream of a frame's events: claim, text, no_text, summary, fail (2.9 #2, #3).
+
+    ``place`` orders the events of a trigger.  An event that a state doesn't
+    allow changes nothing, so a described or failed frame stays so: the state,
+    one number a frame, is kept for it.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    steps = {
+        (codes.pending, "claim"): codes.reading, (codes.reading, "text"): codes.read, (codes.reading, "no_text"): codes.read, (codes.reading, "fail"): codes.failed,
+        (codes.read, "claim"): codes.describing, (codes.describing, "summary"): codes.described, (codes.describing, "fail"): codes.failed,
+    }
+    kind = dict(stream.dtypes)[key]
+
+    def run(name, parts, state):
+        now = state.get[0] if state.exists else codes.pending
+        rows = pd.concat([p[[place, event]] for p in parts]).sort_values(place, kind="stable")
+        for what in rows[event]:
+            now = steps.get((now, what), now)
+        state.update((now,))
+        yield pd.DataFrame({key: [name[0]], "status": [now]})
+
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, status int", "status int", "update", GroupStateTimeout.NoTimeout)
+
+
 def read_result(frames: DataFrame, text: Column, codes: Codes = Codes(), least: int = 1) -> DataFrame:
     """Apply recognised text to claimed frames: has_text if enough is left after trimming, else no text; null fails (2.9 #3)."""
     found = F.length(F.trim(text)) >= least
