@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..functions.stemming import STOP_WORDS, stem
+from ..session import stored
 from .search import contains
 
 #: Weights of the classes A to D, and the fields of each store in that order.
@@ -68,12 +68,18 @@ def cover_rank(places: list[tuple[str, float]], query: list[tuple[str, bool]], n
     return rank / (rank + 1)
 
 
+def _begins(terms: Sequence[tuple[str, bool]]) -> str:
+    """A pattern of words that may match a term.  Stemming leaves all but the last letters of a stem as they are in the word: three at most differ."""
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(lexeme[: max(1, len(lexeme) - 3)]) for lexeme, _ in terms) + ")"
+
+
 def search(df: DataFrame, fields: Sequence[str], query: str, created: str, key: str, limit: int | None = 50) -> DataFrame:
     """``df`` with score: rows with all terms if there are enough of them, else rows with any term, the best first.
 
-    Enough is the smaller of ten and the limit.  Both answers come from one
-    scan: ranks of either kind are computed side by side, and a count decides.
-    A query without words falls back to contains.
+    Enough is the smaller of ten and the limit.  One scan: rows in which no
+    word begins like a term are dropped before Python sees them, ranks of both
+    kinds are computed side by side for the others and those above zero kept;
+    a count of them decides.  A query without words falls back to contains.
     """
     terms = lexemes(query)
     if not terms:
@@ -86,11 +92,11 @@ def search(df: DataFrame, fields: Sequence[str], query: str, created: str, key:
             rows = [positions(r) for r in part.itertuples(index=False)]
             yield pd.DataFrame({"every": [cover_rank(p, terms, True) for p in rows], "some": [cover_rank(p, terms, False) for p in rows]})
 
-    ranked = df.withColumn("_rank", ranks(F.struct(*(c.alias(f"f{k}") for k, c in enumerate(columns)))))
-    enough = min(limit or 10, 10)
-    full = ranked.agg((F.count_if(F.col("_rank.every") > 0) >= enough).alias("_full"))
-    score = F.when(F.col("_full"), F.col("_rank.every")).otherwise(F.col("_rank.some"))
-    out = ranked.crossJoin(F.broadcast(full)).withColumn("score", score).where(F.col("score") > 0).drop("_rank", "_full")
+    likely = F.lower(F.concat_ws(" ", *columns)).rlike(_begins(terms))
+    ranked = df.where(likely).withColumn("_rank", ranks(F.struct(*(c.alias(f"f{k}") for k, c in enumerate(columns)))))
+    found = stored(ranked.where((F.col("_rank.every") > 0) | (F.col("_rank.some") > 0)), "ranked")
+    full = found.where(F.col("_rank.every") > 0).limit(min(limit or 10, 10)).count() >= min(limit or 10, 10)
+    out = found.withColumn("score", F.col("_rank.every" if full else "_rank.some")).where(F.col("score") > 0).drop("_rank")
     out = out.orderBy(F.desc("score"), F.col(created).desc_nulls_last(), F.col(key).desc_nulls_last())
     return out if limit is None else out.limit(limit)
 
@@ -98,8 +104,3 @@ def search(df: DataFrame, fields: Sequence[str], query: str, created: str, key:
 def store_search(df: DataFrame, store: str, query: str, field: str | None = None, limit: int | None = 50) -> DataFrame:
     """A store's search in its fields by weight, or in one field."""
     return search(df, [field] if field else [f for f in FIELDS[store] if f in df.columns], query, "created_at", "id", limit)
-
-
-def highlighted(text, query: str):
-    """How many of the query's words a text contains, for reports."""
-    return X.word_matches([w for w in _WORD.findall(query.lower()) if len(w) > 1] or [query.lower()], text)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def _common(a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of ``a`` with each window b[s : s + len(a)], all windows at once.
@@ -59,13 +61,52 @@ def partial_ratio(query: str, text: str) -> float:
     return float((200.0 * _common(a, b, starts) / (len(a) + lengths)).max())
 
 
+#: Scores at which a search stops looking for more rows, the best first.
+LEVELS = (95.0, 90.0, 80.0, 70.0)
+
+
+def seeds(query: str, least: float) -> list[str]:
+    """Pieces of the query of which a window scoring ``least`` holds one.
+
+    Such a window lacks or adds at most 2 * n * (1 - least / 100) characters in
+    all, each of which breaks one piece; of one piece more, one is whole.
+    """
+    n = len(query)
+    pieces = min(n, int(2 * n * (1 - least / 100) + 1e-9) + 1)
+    cuts = [n * k // pieces for k in range(pieces + 1)]
+    return sorted({query[a:b] for a, b in zip(cuts, cuts[1:], strict=False)})
+
+
 def fuzzy(df: DataFrame, field: str, query: str, key: str, limit: int | None = 10) -> DataFrame:
-    """``df`` with score, the best first, ties by key; a null text scores 0."""
+    """``df`` with score, the best first, ties by key; a null text scores 0.
+
+    With a limit, rows that can't reach a level are left to Spark's ``contains``
+    (see ``seeds``) and only the others scored; when enough rows reach it, the
+    answer is complete, else the next level is tried, and at last all rows.
+    """
     low = query.lower()
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return text.map(lambda t: 0.0 if t is None else partial_ratio(low, t.lower())).astype(float)
 
-    out = df.withColumn("score", score(F.col(field))).orderBy(F.desc("score"), F.col(key).asc_nulls_last())
-    return out if limit is None else out.limit(limit)
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("score", score(F.col(field)))
+
+    order = [F.desc("score"), F.col(key).asc_nulls_last()]
+    if limit is None or not low:
+        out = ranked(df).orderBy(*order)
+        return out if limit is None else out.limit(limit)
+    text = F.lower(F.col(field))
+    for least in LEVELS:
+        parts = seeds(low, least)
+        if min(map(len, parts)) < 3:
+            break  # hardly a row lacks all of them
+        # a text shorter than the query is the one that is looked for, so it always counts
+        near = F.length(text) < len(low)
+        for part in parts:
+            near = near | F.contains(text, F.lit(part))
+        found = stored(ranked(df.where(near)).where(F.col("score") >= least), "fuzzy")
+        if found.limit(limit).count() >= limit:
+            return found.orderBy(*order).limit(limit)
+    return ranked(df).orderBy(*order).limit(limit)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..session import stored
+from ..skew import attach, hot_keys
 
 #: Okapi parameters: term saturation, length normalisation, floor of an idf as a share of the mean one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -32,7 +34,8 @@ def bm25(df: DataFrame, field: str, query: str, key: str, limit: int | None = 10
     often as it is repeated.
 
     The corpus is scanned for its statistics (one row of them) and once more
-    for the scores; no token is ever shuffled.
+    for the scores, without a shuffle of tokens; the mean idf, where it is
+    needed, takes one more pass that counts the rows of each term.
     """
     spark = df.sparkSession
     held = df.withColumn("_tokens", X.tokens(F.col(field))).where(F.size("_tokens") > 0)
@@ -66,22 +69,30 @@ def mean_idf(held: DataFrame, tokens: str, n: int) -> float:
 def bm25_batch(df: DataFrame, field: str, key: str, queries: DataFrame, query_key: str, query_text: str, limit: int = 3) -> DataFrame:
     """(query_key, rank, key, score): the best rows for each of many queries.
 
-    Only terms that some query has are counted; queries and rows meet by term.
+    The corpus is read for its number of rows and mean length, and once for the
+    terms that some query has: others are dropped before anything is shuffled.
+    The mean idf of all terms is computed only if a query has a term that is
+    in more than half of the rows.
     """
     from pyspark.sql import Window
 
     held = df.select(key, X.tokens(F.col(field)).alias("tokens")).where(F.size("tokens") > 0).withColumn("len", F.size("tokens"))
     asked = queries.select(query_key, F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = stored(asked, "asked")
     wanted = asked.select("term").distinct()
-    tf = held.select(key, "len", F.explode("tokens").alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    df_all = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))
-    idf_all = df_all.withColumn("idf", _idf(F.col("n"), F.col("df")))
-    floor = idf_all.agg((EPSILON * F.avg("idf")).alias("floor"))
-    idf = idf_all.join(wanted, "term", "left_semi").crossJoin(F.broadcast(floor))
-    idf = idf.select("term", "mean", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))
-    part = tf.join(idf, "term").select(key, "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
+    met = held.select(key, "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    tf = stored(met.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    if not corpus["n"]:
+        return tf.join(asked, "term").select(query_key, F.lit(1).alias("rank"), key, F.lit(0.0).alias("score"))
+    idf = tf.groupBy("term").agg(_idf(F.lit(corpus["n"]), F.count(F.lit(1))).alias("idf"))
+    if not idf.where("idf < 0").isEmpty():
+        floor = EPSILON * mean_idf(held, "tokens", corpus["n"])
+        idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(corpus["mean"]))
+    # a term that half of the rows have has as many rows of tf: its idf comes by broadcast
+    hot = hot_keys(tf, "term", tf.count())
+    part = attach(tf, idf, "term", hot).select(key, "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = part.join(asked, "term").groupBy(query_key, key).agg(F.sum(F.col("part") * F.col("qf")).alias("score"))
     # the score is rounded before it orders, so that sums in another order rank alike
     scored = scored.withColumn("score", F.round("score", 6))
@@ -99,7 +110,7 @@ def by_vector(df: DataFrame, vector: str, query: Sequence[float], key: str, crea
     """The nearest by cosine distance, ties by time and key, rows without a usable vector last (2.5 #5)."""
     if len(query) > V.MAX_DIMS:
         raise ValueError(f"a query has more than {V.MAX_DIMS} dimensions")
-    far = V.cosine_distance(F.col(vector), F.array(*(F.lit(float(x)) for x in query)))
+    far = V.distance_to(F.col(vector), [float(x) for x in query])
     ties = [F.col(c).asc_nulls_last() for c in (created, key) if c]
     return df.withColumn("distance", far).orderBy(F.col("distance").asc_nulls_last(), *ties).limit(limit)
 
@@ -186,14 +197,14 @@ def around_time(df: DataFrame, time: str, key: str, start: Column, end: Column,
     return df.where(F.col(time).between(start, end)).orderBy(F.col(time).asc_nulls_last(), F.col(key).asc_nulls_last()).limit(most + 1)
 
 
-def retrieval_bundle(stores: dict[str, DataFrame], query: str, sensitive: bool = False, limit: int = 10) -> DataFrame:
+def retrieval_bundle(stores: dict[str, DataFrame], query: str, sensitive: bool = False, limit: int = 10, method: str = "bm25") -> DataFrame:
     """What a prompt is given: each store's best with its total, the vault's high secrets left out unless ``sensitive``,
     and the latest events beside the relevant ones (2.5 #12).
     """
     use = dict(stores)
     if "vault" in use and not sensitive:
         use["vault"] = use["vault"].where(F.col("sensitivity").isin("low", "medium"))
-    found = search_all(use, query, limit=limit).withColumn("part", F.lit("relevant"))
+    found = search_all(use, query, method, limit=limit).withColumn("part", F.lit("relevant"))
     if "episodic" in use:
         late = recent(use["episodic"], "occurred_at", "id", limit).select(
             F.lit("episodic").alias("store"), F.lit(0).alias("place"), F.lit(None).cast("int").alias("rank"), F.col("id").cast("string").alias("id"), F.col("summary").alias("text"), F.lit("recent").alias("part")
