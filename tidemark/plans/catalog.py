@@ -34,11 +34,18 @@ def _register(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """The modules that register further queries here."""
+    from . import records, scalars  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
 
 
@@ -167,8 +174,8 @@ def children_of(spark, d):
 
 
 @_register("select o_orderkey, c_name, n_name, r_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
-def drill_down(spark, d):
-    """Region, nation, customer and order for day, project, activity and frame."""
+def joined_hierarchy(spark, d):
+    """Region, nation, customer and order in a chain of plain joins."""
     out = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     out = out.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return out.select("o_orderkey", "c_name", "n_name", "r_name")
@@ -340,7 +347,7 @@ def vector_norms(spark, d):
 (select 'documents' as store, 0 as place, doc_id as id, n_chars as size from documents where contains(lower(text), 'version') order by n_chars desc, doc_id desc limit 10)
 union all (select 'conversations', 1, conv_id * 1000 + turn, length(text) from conversations where contains(lower(text), 'version') or contains(lower(text), 'onst') order by length(text) desc, conv_id * 1000 + turn desc limit 10)
 union all (select 'pages', 2, page_id, length(html) from pages where contains(lower(html), 'onst') order by length(html) desc, page_id desc limit 10)""")
-def multi_store_search(spark, d):
+def contains_in_stores(spark, d):
     documents = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("size"))
     said = _messages(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.length("text").cast("long").alias("size"))
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.length("html").cast("long").alias("size"))
@@ -356,7 +363,7 @@ def multi_store_search(spark, d):
 @_register("""
 with c(store, total) as (select 'conversations', count(*) from conversations union all select 'documents', count(*) from documents union all select 'pages', count(*) from pages)
 select store as "table", total::bigint as n from c union all select 'total', sum(total)::bigint from c""")
-def retrieval_bundle_counts(spark, d):
+def searched_store_counts(spark, d):
     return counting.table_counts({name: table(spark, d, name) for name in ("conversations", "documents", "pages")})
 
 
