@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, bpe, decontam, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup
 from tidemark.llm import kernels as K
 from tidemark.llm.components import connected, star_forest
-from tidemark.llm.skew import attach, hot_keys
+from tidemark.skew import attach, hot_keys
 
 #: Names that operators use inside: they must not clash.
 CLASH = "id long, node long, tag string, text_hash long, size long, runs string, block string, found string, lang_pred string"

@@ -11,11 +11,13 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """This application's folder in the one that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
+    """This application's folder in the one that the cluster names in ``spark.checkpoint.dir``; a temporary one where that is unset in a local session, as in tests."""
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return f"{named.rstrip('/')}/tables-{app}"
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tables-")
     return _own[app]

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..skew import HOT_KEYS, attach, hot_keys
 from . import kernels as K
-from .skew import HOT_KEYS, attach, hot_keys
 from .store import discard, store
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 200, 64
 #: Bytes of a transform, about; different segments of an anchor beyond which they would outgrow one text: their windows are counted one by one, over all tasks.
-TEXT_BYTES, HOT = 1 << 20, 8192
+TEXT_BYTES, HOT = 1 << 20, 2048
 
 
 def segments(body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
