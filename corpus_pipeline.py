@@ -22,9 +22,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep documents whose language is recognised; ``und`` and unsure ones go."""
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
-    found = langid.predict(docs, model, keep=[*docs.columns])
+    # under names of their own, whatever the columns are called
+    names = {c: f"kept{k}" for k, c in enumerate(docs.columns)}
+    named = docs.select(F.col("text"), *(F.col(c).alias(k) for c, k in names.items()))
+    found = langid.predict(named, model, keep=[*names.values()])
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(sure).select(*docs.columns)
+    return found.where(sure).select(*(F.col(k).alias(c) for c, k in names.items()))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +69,7 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Models, alignments and components are beyond SQL; the stages are tested against brute force.
+#: Models, alignments and components are beyond SQL; each stage is tested against brute force or its own model.
 ORACLE_SQL = None
 
 
