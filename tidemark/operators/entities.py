@@ -192,7 +192,6 @@ def patch(kind: str, table: DataFrame, changes: DataFrame, now: Column | None =
     ``only_different`` leaves records alone whose fields have these values (2.14 #16).
     """
     key = _of(kind).key
-    maintenance.unique(changes, key)
     if not changes.select(key).join(live(kind, table), key, "left_anti").isEmpty():
         raise listing.NotFound(f"{kind}: a record to change isn't there")
     fields = [c for c in changes.columns if f"set_{c}" in changes.columns]

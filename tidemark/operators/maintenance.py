@@ -16,12 +16,21 @@ class Conflict(ValueError):
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key isn't in ``old``: append these (2.1 #15)."""
-    return new.join(old, list(key), "left_anti")
+    """Rows of ``new`` whose key isn't in ``old``: append these (2.1 #15).
+
+    Of rows with a repeated key one is taken.  A key with a null is equal to
+    none, as in a unique index, so such rows are all new.
+    """
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    known = new.where(whole).dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti")
+    return known.select(*new.columns).unionByName(new.where(~whole))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``new`` rows in place of ``old`` ones of the same key, and the rest of both (2.11 #12)."""
+    """``new`` rows in place of ``old`` ones of the same key, and the rest of both (2.11 #12); a repeated or null key is an error."""
+    unique(required(new, *key), *key)
     return old.join(new, list(key), "left_anti").unionByName(new.select(*old.columns))
 
 
@@ -34,7 +43,8 @@ def replace(old: DataFrame, dropped: DataFrame, new: DataFrame, key: str) -> Dat
 
 
 def patch(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Only set fields change: ``changes`` has a flag ``set_<field>`` for each field, so that null can be set too (2.11 #10)."""
+    """Only set fields change: ``changes`` has a flag ``set_<field>`` for each field, so that null can be set too (2.11 #10); a repeated key is an error."""
+    unique(changes, key)
     fields = [c for c in changes.columns if c != key and f"set_{c}" in changes.columns]
     renamed = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in fields), *(F.col(f"set_{c}").alias(f"_set_{c}") for c in fields))
     both = old.join(renamed, key, "left")

@@ -19,7 +19,7 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
 def attach(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row for a key; ``how`` is inner or left.
 
-    ``hot`` has the keys, bounded in number (see ``hot_keys``), whose rows are
+    ``table`` is read twice: it is best a stored one.  ``hot`` has the keys, bounded in number (see ``hot_keys``), whose rows are
     not brought together: they get their values from a broadcast of those keys
     alone, and go through the join of the others dealt by a salt that nothing
     there matches.  So do rows without a key.

@@ -19,26 +19,35 @@ def batches(items: DataFrame, owner: str, arrival: str, position: str, least: in
     """
     schema = items.withColumn("batch", F.lit(None).cast("long")).schema
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([arrival, position])
-        batch, waiting, label = 0, 0, []
-        sizes = part.groupby(arrival, sort=True).size()
-        ends = {}
-        for poll, size in sizes.items():
-            waiting += size
-            if waiting >= least:
-                batch, waiting = batch + 1, 0
-                ends[poll] = batch
-        # every item belongs to the first batch that ends at or after its poll
-        polls = list(sizes.index)
-        taken, current = {}, None
-        for poll in reversed(polls):
-            current = ends.get(poll, current)
-            taken[poll] = current
-        label = [taken[p] for p in part[arrival]]
-        return part.assign(batch=pd.array(label, dtype="Int64"))
-
-    return items.groupBy(owner).applyInPandas(run, schema)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # what waits: fewer than ``least`` items, and the poll that is being read
+        waiting, batch, now = 0, 0, None
+
+        def leave(number: int | None) -> pd.DataFrame:
+            rows = pd.concat(held)
+            held.clear()
+            return rows.assign(batch=pd.array([number] * len(rows), dtype="Int64"))
+
+        for part in parts:
+            polls = part[[owner, arrival]].astype(object)
+            polls = polls.where(polls.notna(), None).apply(tuple, axis=1).tolist()
+            edge = [k for k in range(len(polls)) if k == 0 or polls[k] != polls[k - 1]] + [len(polls)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if now is not None and polls[lo] != now:
+                    if waiting >= least:
+                        batch, waiting = batch + 1, 0
+                        yield leave(batch)
+                    if polls[lo][0] != now[0]:
+                        if held:
+                            yield leave(None)
+                        batch, waiting = 0, 0
+                now = polls[lo]
+                held.append(part.iloc[lo:hi])
+                waiting += hi - lo
+        if held:
+            yield leave(batch + 1 if waiting >= least else None)
+
+    return items.repartition(owner).sortWithinPartitions(owner, arrival, position).mapInPandas(run, schema)
 
 
 def absorb_stream(items: DataFrame, owner: str, key: str, position: str, least: int = BATCH) -> DataFrame:

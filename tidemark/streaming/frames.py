@@ -30,16 +30,43 @@ def keep_flags(seconds: np.ndarray, difference: np.ndarray, last: float | None =
     return out, last
 
 
+def _seconds(times: pd.Series) -> np.ndarray:
+    return times.astype("int64").to_numpy() / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[np.datetime_data(times.dtype)[0]]
+
+
+def _runs(part: pd.DataFrame, source: str) -> Iterator[tuple[object, pd.DataFrame]]:
+    """Stretches of rows of one source, as they come; null is a source too."""
+    name = part[source].to_numpy()
+    new = np.ones(len(name), bool)
+    new[1:] = [not (a == b or (pd.isna(a) and pd.isna(b))) for a, b in zip(name[1:], name[:-1], strict=True)]
+    edge = np.append(np.flatnonzero(new), len(name))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        yield (None if pd.isna(name[lo]) else name[lo]), part.iloc[lo:hi]
+
+
+def _in_order(df: DataFrame, source: str, *order: str) -> DataFrame:
+    """Each source in one partition, in order: Python reads it batch by batch and never holds a source's history."""
+    return df.repartition(source).sortWithinPartitions(source, *order)
+
+
 def keep(df: DataFrame, source: str, time: str, key: str, difference: str, least: float = DIFFERENCE, force_s: float = FORCE_S) -> DataFrame:
     """``df`` with kept, source by source.  The rule depends on its own last answer, so a source's frames go in order."""
     schema = df.withColumn("kept", F.lit(True)).schema
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, key])
-        seconds = part[time].astype("int64").to_numpy() / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[np.datetime_data(part[time].dtype)[0]]
-        return part.assign(kept=keep_flags(seconds, part[difference].fillna(1.0).to_numpy(), None, least, force_s)[0])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), None
+        for part in parts:
+            if not len(part):
+                continue
+            flags = []
+            for name, rows in _runs(part, source):
+                if name != now:
+                    now, last = name, None
+                kept, last = keep_flags(_seconds(rows[time]), rows[difference].fillna(1.0).to_numpy(), last, least, force_s)
+                flags.append(kept)
+            yield part.assign(kept=np.concatenate(flags))
 
-    return df.groupBy(source).applyInPandas(run, schema)
+    return _in_order(df, source, time, key).mapInPandas(run, schema)
 
 
 def keep_stream(df: DataFrame, source: str, time: str, key: str, difference: str, least: float = DIFFERENCE, force_s: float = FORCE_S) -> DataFrame:
@@ -50,8 +77,7 @@ def keep_stream(df: DataFrame, source: str, time: str, key: str, difference: str
 
     def run(name, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(parts)).sort_values([time, key])
-        seconds = part[time].astype("int64").to_numpy() / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[np.datetime_data(part[time].dtype)[0]]
-        flags, last = keep_flags(seconds, part[difference].fillna(1.0).to_numpy(), state.get[0] if state.exists else None, least, force_s)
+        flags, last = keep_flags(_seconds(part[time]), part[difference].fillna(1.0).to_numpy(), state.get[0] if state.exists else None, least, force_s)
         state.update((last,))
         yield part[[source, key, time]].assign(kept=flags)
 
@@ -115,13 +141,17 @@ def differences(df: DataFrame, source: str, time: str, key: str, content: str, f
     """(source, key, time, difference) of PNG frames: from the frame sampled before, kept or not; the first is 1, an equal one 0."""
     schema = df.select(source, key, time).withColumn("difference", F.lit(0.0)).schema
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, key])
-        out, before = [], None
-        for blob in part[content]:
-            now = downscale(read_png(bytes(blob)), factor)
-            out.append(1.0 if before is None else 0.0 if np.array_equal(now, before) else histogram_distance(before, now))
-            before = now
-        return part[[source, key, time]].assign(difference=out)
-
-    return df.groupBy(source).applyInPandas(run, schema)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before = object(), None
+        for part in parts:
+            out = []
+            for name, rows in _runs(part, source) if len(part) else ():
+                if name != now:
+                    now, before = name, None
+                for blob in rows[content]:
+                    image = downscale(read_png(bytes(blob)), factor)
+                    out.append(1.0 if before is None else 0.0 if np.array_equal(image, before) else histogram_distance(before, image))
+                    before = image
+            yield part[[source, key, time]].assign(difference=out)
+
+    return _in_order(df, source, time, key).mapInPandas(run, schema)
