@@ -34,7 +34,7 @@ from .store import discard, store
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 200, 64
 #: Bytes of a transform, about; different segments of an anchor beyond which they would outgrow one text: their windows are counted one by one, over all tasks.
-TEXT_BYTES, HOT = 1 << 20, 2048
+TEXT_BYTES, HOT = 1 << 20, 8192
 
 
 def segments(body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
@@ -277,7 +277,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         few, found = told.where("n is null"), _hot(told.where("n is not null"))
     few = few.select("h", "c", "copies", "bytes").repartition("h").sortWithinPartitions("h")
     settled = few.mapInArrow(_transforms, "h long, c long, runs array<struct<s: int, e: int>>")
-    found = settled if found is None else settled.unionByName(found)
+    found = store(settled if found is None else settled.unionByName(found), "found")
 
     whole = F.array(F.struct(F.col("a").alias("s"), F.col("e").alias("e")))
     shifted = F.transform("runs", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"]).alias("e")))
