@@ -6,7 +6,8 @@ of votes / (2 k + 1), here a shard's size over its odd divisors.  Within a
 shard a seeded order of the documents decides which of them fill the blocks.
 
 Everything is DataFrame functions.  A source is dealt into shards of bounded
-size by hash, so that no window ever holds a whole source.
+size by hash, so that no window ever holds a whole source; one row for each
+source is all that meets in one place.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..skew import HOT_KEYS, attach, hot_keys
 from .store import store
 
 #: Words of a block, documents of a shard (about), most repeats, weights in source order.
@@ -56,8 +58,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return levels.select("source", "source_size", "docs", target.alias("target"))
 
 
+def _key(source: Column) -> Column:
+    """A source's name, null's too, as a key that is never null."""
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source))
+
+
 def apportion(shards: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Add quota, the blocks of each shard, to rows (source, shard, shard_size, source_size, target).
+    """(source, shard, shard_size, quota), the blocks of each shard, from rows (source, shard, shard_size, source_size, target).
 
     Sainte-Lague: the seats, target / block of a source, go to the highest
     quotients shard_size / (2 k + 1).  With n shards and the divisor
@@ -65,25 +72,36 @@ def apportion(shards: DataFrame, block: int = BLOCK) -> DataFrame:
     than the seats, so all of them win; at most n seats are left, and a shard
     can win at most share * n + 1 of them.  Only that many further quotients a
     shard are ranked, however many blocks there are.
+
+    A source may have most of the shards, so they are never brought together:
+    its counts come by broadcast, and bids are dealt by ranges of their
+    quotients, placed within a range and counted on from the ranges before.
     """
-    by_source = Window.partitionBy("source")
+    keyed = store(shards.withColumn("key", _key(F.col("source"))), "shards")
+    hot = hot_keys(keyed, "key", keyed.count())
     share = F.coalesce(F.try_divide(F.col("shard_size"), F.col("source_size")), F.lit(0.0))
     given = (
-        shards.withColumn("n", F.count(F.lit(1)).over(by_source))
+        attach(keyed, keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", hot)
         .withColumn("seats", F.coalesce(F.floor(F.col("target") / block + 0.5), F.lit(0)))
         .withColumn("share", share)
         .withColumn("sure", F.floor(F.greatest(F.col("seats") - F.col("n") / 2, F.lit(0.0)) * F.col("share") + 0.5))
         .withColumn("sure", F.when(F.col("shard_size") > 0, F.col("sure")).otherwise(0))
-        .withColumn("left", F.col("seats") - F.sum("sure").over(by_source))
     )
+    given = store(given, "seats")
+    given = attach(given, given.groupBy("key").agg((F.first("seats") - F.sum("sure")).alias("left")), "key", hot)
     further = F.sequence(F.col("sure"), F.col("sure") + F.floor(F.col("share") * F.col("n")) + 1)
-    bids = given.where("shard_size > 0").select("*", F.explode(further).alias("k"))
-    place = F.row_number().over(by_source.orderBy((F.col("shard_size") / (2 * F.col("k") + 1)).desc(), "shard", "k"))
-    won = bids.withColumn("place", place).groupBy("source", "shard").agg(
+    bids = given.where("shard_size > 0").select("key", "source", "shard", "shard_size", "sure", "left", F.explode(further).alias("k"))
+    bids = bids.withColumn("quotient", F.col("shard_size") / (2 * F.col("k") + 1))
+    turn = [F.col("quotient").desc(), F.col("shard"), F.col("k")]
+    dealt = store(bids.repartitionByRange("key", *turn).withColumn("range", F.spark_partition_id()), "bids")
+    ahead = F.sum("held").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = dealt.groupBy("key", "range").agg(F.count(F.lit(1)).alias("held")).select("key", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("key", "range").orderBy(*turn)) + F.col("ahead")
+    won = dealt.join(ranges, ["key", "range"]).withColumn("place", place)
+    return won.groupBy("source", "shard").agg(
         F.first("shard_size").alias("shard_size"),
         (F.first("sure") + F.sum(F.when(F.col("place") <= F.col("left"), 1).otherwise(0))).alias("quota"),
     )
-    return won
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -111,8 +129,9 @@ def mix_sized(sized: DataFrame, *, block: int = BLOCK, seed: str = SEED) -> Data
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     # 13 hex digits are 52 bits: exact both as a long and as a double
     drawn = F.conv(F.substring(key, 1, 13), 16, 10).cast("long")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    placed = sized.join(targets.withColumnRenamed("source", "s"), same).drop("s")
+    targets = targets.select(_key(F.col("source")).alias("__source"), "source_size", "docs", "target")
+    often = max(1, -(-sized.count() // HOT_KEYS))
+    placed = attach(sized.withColumn("__source", _key(F.col("source"))), targets, "__source", targets.where(F.col("docs") >= often).select("__source")).drop("__source")
     placed = placed.withColumn("drawn", drawn).withColumn("shard", F.pmod(F.col("drawn"), parts))
     shards = placed.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
