@@ -15,8 +15,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import listing, maintenance
 from ..functions import text as X
+from ..session import stored
+from . import listing, maintenance
 from .maintenance import Conflict
 
 
@@ -134,6 +135,7 @@ def create(
         _free(table, out, (what.key,))
     else:
         out = short_ids(out.withColumn(what.key, F.lit(None).cast("string")), table, what.key, seed or [c for c in what.required if c in rows.columns], id_sizes)
+        out = stored(out, "created")  # the checks that follow and the result read it
     for fields in what.unique:
         if set(fields) <= set(table.columns) and set(fields) <= set(out.columns):
             _free(live(kind, table), out, fields)

@@ -61,8 +61,8 @@ def bm25(df: DataFrame, field: str, query: str, key: str, limit: int | None = 10
 
 
 def mean_idf(held: DataFrame, tokens: str, n: int) -> float:
-    """The mean idf of all terms of the corpus."""
-    terms = held.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """The mean idf of all terms of the corpus; terms are told apart by 64-bit hashes."""
+    terms = held.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return terms.agg(F.avg(_idf(F.lit(n), F.col("df")))).first()[0]
 
 
@@ -72,12 +72,15 @@ def bm25_batch(df: DataFrame, field: str, key: str, queries: DataFrame, query_ke
     The corpus is read for its number of rows and mean length, and once for the
     terms that some query has: others are dropped before anything is shuffled.
     The mean idf of all terms is computed only if a query has a term that is
-    in more than half of the rows.
+    in more than half of the rows.  Terms are told apart by 64-bit hashes.
     """
     from pyspark.sql import Window
 
-    held = df.select(key, X.tokens(F.col(field)).alias("tokens")).where(F.size("tokens") > 0).withColumn("len", F.size("tokens"))
-    asked = queries.select(query_key, F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qf"))
+    def hashed(text: str) -> Column:
+        return F.transform(X.tokens(F.col(text)), lambda t: F.xxhash64(t))
+
+    held = df.select(key, hashed(field).alias("tokens")).where(F.size("tokens") > 0).withColumn("len", F.size("tokens"))
+    asked = queries.select(query_key, F.explode(hashed(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qf"))
     asked = stored(asked, "asked")
     wanted = asked.select("term").distinct()
     met = held.select(key, "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import context, counting, entities, listing, maintenance, search, similarity
 from ..session import table, with_instants, workspace
-from ..streaming import absorb, status
-from .catalog import _SQL_BRIDGE, _SQL_RECORDS, _bridge, _messages, _records, _register
+from ..sources import files
+from ..streaming import absorb, frames, status
+from .catalog import _SQL_BRIDGE, _SQL_RECORDS, _bridge, _frames, _messages, _records, _register, _sql
 
 ACTOR = {"organization_id": "org-1", "user_id": "user-1"}
 _NOW = "2024-06-01 12:00:00"
@@ -445,11 +448,13 @@ def _by_user():
     return Window.partitionBy("user_id").orderBy("event_id")
 
 
+def _new_folder(spark, name: str) -> str:
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(spark, d, build, name: str, mode: str, given: DataFrame | None = None) -> DataFrame:
     """What a stream over the events, read from files, has put out when it has read them all."""
-    import uuid
-
-    folder = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _new_folder(spark, name)
     (with_instants(table(spark, d, "events")) if given is None else given).write.parquet(f"{folder}/in")
     batch = spark.read.parquet(f"{folder}/in")
     stream = build(spark.readStream.schema(batch.schema).parquet(f"{folder}/in"))
@@ -575,3 +580,63 @@ def retrieval_bundle(spark, d):
 def around_time(spark, d):
     """A range, one row more than its limit if there are too many (2.5 #14)."""
     return search.around_time(table(spark, d, "events"), "ts", "event_id", F.lit("2024-01-02").cast(_NTZ), F.lit("2024-01-05").cast(_NTZ)).select("event_id", "ts")
+
+
+# Sinks -----------------------------------------------------------------------------------
+
+
+@_register("select c_custkey, c_name from customer")
+def backup_round_trip(spark, d):
+    """A backup read again (2.1 #16)."""
+    folder = _new_folder(spark, "backup")
+    files.backup({"customer": table(spark, d, "customer"), "nation": table(spark, d, "nation")}, folder)
+    return files.restore(spark, folder, ["customer", "nation"])["customer"].select("c_custkey", "c_name")
+
+
+@_register("select n_nationkey::varchar as n_nationkey, n_name from nation")
+def export_sheets(spark, d):
+    """A sheet of an export, read again: all of it is text (2.1 #12)."""
+    folder = _new_folder(spark, "sheets")
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").alias("created_at"))
+    files.export_sheets({"nation": nations, "region": table(spark, d, "region").withColumn("created_at", F.lit(1))}, folder)
+    return spark.read.option("header", True).csv(f"{folder}/nation").select("n_nationkey", "n_name")
+
+
+@_register("select event_id, event_type from events")
+def append_once(spark, d):
+    """A batch that is delivered twice, with repeated keys, is there once (2.1 #15, 2.9)."""
+    path = f"{_new_folder(spark, 'once')}/events"
+    events = table(spark, d, "events").select("event_id", "event_type")
+    write = status.idempotent_append(path, "event_id")
+    write(events.unionByName(events), 0)
+    write(events, 0)
+    return spark.read.schema(events.schema).parquet(path)
+
+
+@_register("select 'types' as sink, event_type as value, count(*) as n from events group by event_type union all select 'users', user_id::varchar, count(*) from events group by user_id")
+def fan_out_sinks(spark, d):
+    """One batch given to two sinks (2.9 #11)."""
+    folder = _new_folder(spark, "fan")
+
+    def sink(name: str, column: str):
+        def write(batch: DataFrame) -> None:
+            counted = batch.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+            counted.select(F.lit(name).alias("sink"), "value", "n").write.parquet(f"{folder}/{name}")
+
+        return write
+
+    status.fan_out({"types": sink("types", "event_type"), "users": sink("users", "user_id")})(table(spark, d, "events"), 0)
+    return spark.read.parquet(f"{folder}/types", f"{folder}/users")
+
+
+@_register(_sql["frame_keep_rule"])
+def frame_keep_stream(spark, d):
+    """The keep rule over a stream (2.9 #1)."""
+    out = _streamed(spark, d, lambda s: frames.keep_stream(s, "user_id", "ts", "event_id", "difference", force_s=3600.0), "keep", "append", _frames(spark, d))
+    return out.select("user_id", "event_id", "kept")
+
+
+@_register("select user_id, 1::bigint as batch, event_id from events where user_id in (select user_id from events group by user_id having count(*) >= 20)")
+def absorb_stream(spark, d):
+    """All that waits leaves as a batch once there are twenty (2.9 #6)."""
+    return _streamed(spark, d, lambda s: absorb.absorb_stream(s, "user_id", "event_id", "event_id"), "absorb", "append")
