@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import attach, hot_keys
+from ..skew import HOT_KEYS, attach, hot_keys
 from .store import discard, store
 
 EDGE = "a long, b long"
@@ -63,16 +63,18 @@ def connected(edges: DataFrame) -> DataFrame:
     that smallest node.  Rounds of hooking (all labels of a node are joined to
     the least) and pointer jumping halve the depth; each round is a written
     table.  No step gathers a component in one place: minima are aggregated
-    before the shuffle, and labels are looked up with joins in which those that
-    many nodes share are broadcast.
+    before the shuffle, and labels are looked up with joins in which nodes with
+    many labels, and labels that many nodes share, are broadcast.
 
     Empty edges give an empty result; loops (a = b) are ignored.
     """
     edges = edges.where(F.col("a") != F.col("b")).select("a", "b")
     now = store(edges.mapInArrow(_forests, EDGE).select("a", "b", F.lit(True).alias("moved")), "edges")
     while True:
-        parent = now.groupBy("a").agg(F.min("b").alias("p"))
-        hooked = now.join(parent, "a").select("a", "b", "p")
+        total = now.count()
+        often = max(1, -(-total // HOT_KEYS))
+        parent = store(now.groupBy("a").agg(F.min("b").alias("p"), F.count(F.lit(1)).alias("n")), "parents")
+        hooked = attach(now.select("a", "b"), parent.select("a", "p"), "a", parent.where(F.col("n") >= often).select("a"))
         # (a, b) with p = least label of a: keep (a, p), and join b to p where they differ
         both = hooked.select(
             F.explode(
@@ -82,13 +84,13 @@ def connected(edges: DataFrame) -> DataFrame:
             ).alias("e")
         ).select("e.*")
         up = parent.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        # a node stands in few rows as a, but the label of a large component in very many as b
-        shared = hot_keys(parent.select(F.col("p").alias("b")), "b", now.count())
+        shared = hot_keys(parent.select(F.col("p").alias("b")), "b", total)
         jumped = attach(both, up, "b", shared, "left").select(
             "a", F.coalesce("q", "b").alias("b"), (F.col("moved") | F.col("q").isNotNull()).alias("moved")
         )
         after = store(jumped.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
         discard(now)
+        discard(parent)
         now = after
         if now.where("moved").isEmpty():
             return now.select("a", "b")
