@@ -272,3 +272,36 @@ def test_bm25_batch_of_nothing(spark):
     docs = spark.createDataFrame([(1, "")], "id int, t string")
     asked = spark.createDataFrame([(1, "some words")], "q int, t string")
     assert search.bm25_batch(docs, "t", "id", asked, "q", "t").count() == 0
+
+
+def png(width, height):
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    raw = b"".join(b"\0" + b"\x07" * width for _ in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_screen_shots(spark, tmp_path):
+    """Monitors come and go; a picture without size, or that is none, is left out; a stream reads each shot once."""
+    from tidemark.sources import screen
+
+    folder = tmp_path / "shots"
+    folder.mkdir()
+    for name, image in {"1-0": png(4, 2), "1-1": png(8, 6), "2-0": png(4, 2), "3-0": png(0, 0), "3-2": png(5, 5), "4-0": b"none"}.items():
+        (folder / f"{name}.png").write_bytes(image)
+    screen.register(spark)
+    rows = spark.read.format("screen").option("path", str(folder)).load().select("shot", "monitor", "width", "height").collect()
+    want = [(1, 0, 4, 2), (1, 1, 8, 6), (2, 0, 4, 2), (3, 2, 5, 5)]
+    assert sorted(map(tuple, rows)) == want
+    out = []
+    stream = spark.readStream.format("screen").option("path", str(folder)).option("shots", "2").load()
+    query = stream.writeStream.foreachBatch(lambda df, n: out.extend(tuple(r)[:4] for r in df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(out) == want
