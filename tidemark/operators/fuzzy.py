@@ -61,8 +61,8 @@ def partial_ratio(query: str, text: str) -> float:
     return float((200.0 * _common(a, b, starts) / (len(a) + lengths)).max())
 
 
-#: Scores at which a search stops looking for more rows, the best first.
-LEVELS = (95.0, 90.0, 80.0, 70.0)
+#: Scores at which a search stops looking for more rows, the best first, and characters that a piece needs to leave many rows out.
+LEVELS, PIECE = (95.0, 89.0), 4
 
 
 def seeds(query: str, least: float) -> list[str]:
@@ -100,8 +100,8 @@ def fuzzy(df: DataFrame, field: str, query: str, key: str, limit: int | None = 1
     text = F.lower(F.col(field))
     for least in LEVELS:
         parts = seeds(low, least)
-        if min(map(len, parts)) < 3:
-            break  # hardly a row lacks all of them
+        if min(map(len, parts)) < PIECE:
+            break
         # a text shorter than the query is the one that is looked for, so it always counts
         near = F.length(text) < len(low)
         for part in parts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +30,21 @@ def batches(items: DataFrame, owner: str, arrival: str, position: str, least: in
             return rows.assign(batch=pd.array([number] * len(rows), dtype="Int64"))
 
         for part in parts:
-            polls = part[[owner, arrival]].astype(object)
-            polls = polls.where(polls.notna(), None).apply(tuple, axis=1).tolist()
-            edge = [k for k in range(len(polls)) if k == 0 or polls[k] != polls[k - 1]] + [len(polls)]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if now is not None and polls[lo] != now:
+            if not len(part):
+                continue
+            names, polls = (part[c].astype(object).where(part[c].notna(), None).to_numpy() for c in (owner, arrival))
+            change = np.flatnonzero((names[1:] != names[:-1]) | (polls[1:] != polls[:-1])) + 1
+            for lo, hi in zip([0, *change], [*change, len(part)], strict=True):
+                here = (names[lo], polls[lo])
+                if now is not None and here != now:
                     if waiting >= least:
                         batch, waiting = batch + 1, 0
                         yield leave(batch)
-                    if polls[lo][0] != now[0]:
+                    if here[0] != now[0]:
                         if held:
                             yield leave(None)
                         batch, waiting = 0, 0
-                now = polls[lo]
+                now = here
                 held.append(part.iloc[lo:hi])
                 waiting += hi - lo
         if held:
