@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup
+from . import ann, bpe, decontam, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup, vector_codes
 from .sql import ORACLE
 
 
@@ -66,6 +66,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors after two delta-maintained rounds."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

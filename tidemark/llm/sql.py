@@ -47,4 +47,21 @@ reach(a, b) as (select a, b from links union select r.a, l.b from reach r join l
 select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as component_id from sets
 """
 
-ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8}
+#: One round: the parts' nearest entries (distance and index in one number), then the entries' floored means.
+_ROUND = """
+near{r} as (select vec_id, p, min(list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e)::bigint k from parts join book{r} using (p) group by vec_id, p),
+book{n} as (select p, e, coalesce(m, b) b from book{r} left join (select p, e, list(floor(s / c)::bigint order by i) m from
+  (select p, k % 64 e, i, sum(x[i]) s, count(*) c from parts join near{r} using (vec_id, p), range(1, len(x) + 1) t(i) group by all) group by p, e) using (p, e)),"""
+
+OP11 = rf"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select vec_id, label, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] x from kept, range(16) t(p)),
+book0 as (select p, dense_rank() over (order by vec_id) - 1 e, x b from parts qualify e < 64),
+{_ROUND.format(r=0, n=1)}{_ROUND.format(r=1, n=2)}{_ROUND.format(r=2, n=3)}
+coded as (select vec_id, string_agg(lower(lpad(hex(k % 64), 2, '0')), '' order by p) code, sum(k // 64)::bigint error from near2 group by vec_id),
+named as (select sha256(string_agg(v::varchar, ',' order by p, e, i)) codebooks_sha256 from (select p, e, i, b[i] v from book2, range(1, len(b) + 1) t(i)))
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from coded join kept using (vec_id), named
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8, "op11_vector_codes": OP11}
