@@ -64,4 +64,24 @@ named as (select sha256(string_agg(v::varchar, ',' order by p, e, i)) codebooks_
 select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from coded join kept using (vec_id), named
 """
 
-ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8, "op11_vector_codes": OP11}
+OP12 = rf"""
+with texts as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+worded as (select *, regexp_extract_all(t, '{_WORD}') w, min(doc_id) over (partition by t) first from texts),
+marks as (select doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) toxic from labels group by doc_id),
+failed as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+  {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)}} f
+  from worded left join marks using (doc_id)),
+masks as (select part, f.A::int + 2 * f.B::int + 4 * f.C::int + 8 * f.D::int + 16 * f.E::int mask, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from failed group by all),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) c, unnest([1, 2, 4, 8, 16]) bit),
+orders as (select a.c || b.c || c.c || d.c || e.c filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] bits from letter a, letter b, letter c, letter d, letter e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps as (select filter_order, step, bits[step] bit, coalesce(list_sum(bits[:step - 1]), 0)::int before from orders, (select unnest([1, 2, 3, 4, 5]) step)),
+counted as (select part, filter_order, step, bit,
+  coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint kept, coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0)::bigint removed,
+  coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0)::bigint redundant, coalesce(sum(n) filter (mask = bit), 0)::bigint unique_fails,
+  coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0)::bigint good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0)::bigint toxic_lost
+  from masks, steps group by all)
+select part, filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, bit)::bigint shapley from counted
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8, "op11_vector_codes": OP11, "op12_filter_audit": OP12}
