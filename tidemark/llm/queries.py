@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, filter_audit, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup, vector_codes
+from . import ann, bpe, cover_tree, decontam, filter_audit, html_main, jaccard, langid, licenses, mixing, pii, suffix_dedup, vector_codes
 from .sql import ORACLE
 
 
@@ -76,6 +76,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among the vectors of a label, at a cosine of 0.98."""
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -84,4 +84,14 @@ counted as (select part, filter_order, step, bit,
 select part, filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, bit)::bigint shapley from counted
 """
 
-ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8, "op11_vector_codes": OP11, "op12_filter_audit": OP12}
+OP13 = """
+with recursive fine as (select vec_id, label, embedding::double[] v from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+counted as (select a, count(*) n_links from links group by a), rooted as (select a, min(b) root from reach group by a),
+named as (select vec_id, coalesce(n_links, 0)::bigint n_links, least(vec_id, coalesce(root, vec_id)) component_id from embeddings left join counted c on vec_id = c.a left join rooted r on vec_id = r.a)
+select vec_id, n_links, component_id, vec_id = component_id as kept from named
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mix": OP5, "op8_ngram_jaccard": OP8, "op11_vector_codes": OP11, "op12_filter_audit": OP12, "op13_embedding_dedup": OP13}

@@ -186,8 +186,8 @@ def compress(
     lengths = [r["dims"] for r in state.groupBy(F.size("whole").alias("dims")).count().collect()]
     books = {}
     for dims in lengths:
-        first = state.where(F.size("whole") == dims).orderBy(F.col("vec_id").asc_nulls_last(), "whole").select("whole").limit(entries)
-        books[dims] = np.array([r["whole"] for r in first.collect()], np.int64).reshape(-1, dims)
+        first = state.where(F.size("whole") == dims).orderBy(F.col("vec_id").asc_nulls_last(), "whole").select("whole").limit(entries).collect()
+        books[dims] = np.array([r["whole"] for r in first], np.int64).reshape(len(first), dims)
 
     def assigned(books: dict[int, np.ndarray], names: dict[int, str]) -> DataFrame:
         shared = spark.sparkContext.broadcast((books, names))
