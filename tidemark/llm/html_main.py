@@ -20,6 +20,7 @@ weak tag, as it may stand amid an article.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -42,7 +43,9 @@ CUT = -0.5
 #: Words that each element is taken to have had in main texts besides those counted, and the least score of a word.
 PRIOR, LEAST_WORD = 20, 0.02
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_OPENING = re.compile(r"</?[A-Za-z][^\s/>]*+")
+_DELIMITER = re.compile(r"[>\"']")
 _CLASS = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[^\W\d_]+|[0-9]+")
 
@@ -70,22 +73,68 @@ class Token:
     closing: bool = False
 
 
+class _Ends:
+    """Where a tag that begins in a page would end, known for all places after one pass from the right.
+
+    From a place outside quotes a tag runs to the next ``>``, or from a quote
+    over its next like and on; what is never closed is no tag.  So the answer
+    hangs on the next delimiter alone, and no tag is looked for twice.
+    """
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _DELIMITER.finditer(page)]
+        self.closed = [False] * (len(self.at) + 1)
+        following: dict[str, int] = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[k]]
+            if c == ">":
+                self.closed[k] = True
+            else:
+                self.closed[k] = c in following and self.closed[following[c] + 1]
+                following[c] = k
+
+    def after(self, place: int) -> bool:
+        return self.closed[bisect.bisect_left(self.at, place)]
+
+
 def tokens(page: str) -> list[Token]:
     """Text and tags in page order; content of ``RAW`` elements and comments is markup and left out.
 
     An end tag closes the innermost open element of its name and all within;
-    what is never closed ends with the element around it, or with the page.
+    what is never closed ends with the element around it, or with the page.  A
+    ``<`` that begins no tag, comment or declaration with an end is text.  The
+    time is linear in the page, however it is broken.
     """
     out: list[Token] = []
     open_at: list[int] = []
     many: Counter = Counter()  # open elements by name
-    at = 0
-    while (m := _TOKEN.match(page, at)) is not None:
-        at = m.end()
-        if m[2] is None:
-            if not m[0].startswith(("<!", "<?")):
-                out.append(Token("", m[0]))
+    at, final = 0, page.rfind(">")
+    ends: _Ends | None = None  # made where a tag without an end is met
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = end if end >= 0 else len(page)
+            out.append(Token("", page[at:end]))
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
+        m = None
+        if at < final:
+            if page[at + 1] in "!?":
+                at = page.find(">", at) + 1
+                continue
+            if ends is None or ((o := _OPENING.match(page, at)) is not None and ends.after(o.end())):
+                m = _TAG.match(page, at)
+                if m is None and ends is None and _OPENING.match(page, at):
+                    ends = _Ends(page)
+        if m is None:
+            out.append(Token("", "<"))
+            at += 1
+            continue
+        at = m.end()
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW:
             if not closing and not m[3].endswith("/"):
