@@ -130,12 +130,12 @@ def _scan(base, notices) -> Callable:
                 for k in range(j - i):
                     raw = whole[at[k] : at[k + 1]]
                     text = raw.decode("utf-8", "surrogatepass")
-                    plain = len(text) == len(raw)
+                    lead = None if len(text) == len(raw) else np.flatnonzero((body[at[k] : at[k + 1]] & 0xC0) != 0x80)  # the byte at which each code point begins
                     places, exact = [], set()
-                    for label, lead, pattern in phrases:
-                        if lead in text:
+                    for label, head, pattern in phrases:
+                        if head in text:
                             for m in pattern.finditer(text):
-                                places.append(m.start() if plain else len(text[: m.start()].encode("utf-8", "surrogatepass")))
+                                places.append(m.start() if lead is None else lead[m.start()])
                                 exact.add(label)
                     found = fuzzy_spans(text, notices)
                     index = np.searchsorted(starts, np.array(places, np.int64) + at[k]) - first[k]
