@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import store
 from .licenses import SEPARATORS
 
 #: Words of a seed; least score.
@@ -212,9 +213,11 @@ def leaks(
         index = Index.build(ids, texts)
         shared = spark.sparkContext.broadcast(index)
         scored = given.mapInArrow(_search(shared, least), f"id {kind}, item_id long, score double, word_start int, word_end int")
+        scored = store(scored.where(F.col("score") >= least), "aligned")
+        shared.destroy()
         out = scored if out is None else out.unionByName(scored)
     if out is None:
-        return spark.createDataFrame([], f"{id_col} {kind}, item_id long, score double, word_start int, word_end long")
+        return spark.createDataFrame([], f"{id_col} {kind}, item_id long, score double, word_start int, word_end int")
     best = F.max_by(F.struct("word_start", "word_end"), F.struct("score", -F.col("word_start"))).alias("at")
-    out = out.where(F.col("score") >= least).groupBy("id", "item_id").agg(F.max("score").alias("score"), best)
+    out = out.groupBy("id", "item_id").agg(F.max("score").alias("score"), best)
     return out.select(F.col("id").alias(id_col), "item_id", "score", "at.word_start", "at.word_end")

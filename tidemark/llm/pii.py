@@ -203,7 +203,8 @@ def specific(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         if not len(grams):
             continue
         shared = spark.sparkContext.broadcast(np.sort(grams))
-        part = texts.mapInArrow(_places(shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        part = store(texts.mapInArrow(_places(shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "places")
+        shared.destroy()
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return store(hashed.select("pattern", F.lit(0).cast("long").alias("blank")), "specific")
