@@ -21,6 +21,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s!-/:-@\[-`{-~]+"), lambda w: F.length(w) > 1)
 
 
+def has_token(text: Column) -> Column:
+    """Whether ``tokens`` would find any; reads no further than the first."""
+    return F.coalesce(F.lower(text).rlike(r"(?U)[^\s!-/:-@\[-`{-~]{2}"), F.lit(False))
+
+
 def word_set(text: Column) -> Column:
     """Distinct lower-cased words, split at white space alone."""
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != ""))

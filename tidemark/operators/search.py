@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..session import stored
-from ..skew import attach, hot_keys
+from ..skew import HOT_KEYS, attach
 
 #: Okapi parameters: term saturation, length normalisation, floor of an idf as a share of the mean one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def _idf(n: Column, df: Column) -> Column:
+def idf_of(n: Column, df: Column) -> Column:
+    """Okapi's idf, negative for terms of more than half of the rows."""
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
@@ -33,69 +36,108 @@ def bm25(df: DataFrame, field: str, query: str, key: str, limit: int | None = 10
     computed only if a query token is that frequent.  A query token counts as
     often as it is repeated.
 
-    The corpus is scanned for its statistics (one row of them) and once more
-    for the scores, without a shuffle of tokens; the mean idf, where it is
-    needed, takes one more pass that counts the rows of each term.
+    Two passes: one counts the rows of each term, of which the statistics
+    follow, and one scores, without a shuffle of rows.  ``postings`` keeps an
+    index of what is searched often.
     """
     spark = df.sparkSession
-    held = df.withColumn("_tokens", X.tokens(F.col(field))).where(F.size("_tokens") > 0)
-    words = spark.range(1).select(X.tokens(F.lit(query))).first()[0]
+    held = df.where(X.has_token(F.col(field)))
+    words = [tuple(r) for r in spark.range(1).select(F.explode(X.tokens(F.lit(query))).alias("t")).select("t", F.xxhash64("t")).collect()]
     if not words:
-        out = held.drop("_tokens").withColumn("score", F.lit(None).cast("double")).orderBy(F.col(key).asc_nulls_last())
+        out = held.withColumn("score", F.lit(None).cast("double")).orderBy(F.col(key).asc_nulls_last())
         return out if limit is None else out.limit(limit)
-    distinct = sorted(set(words))
-    counts = [F.count_if(F.array_contains("_tokens", w)).alias(f"d{k}") for k, w in enumerate(distinct)]
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tokens")).alias("mean"), *counts)
-    row = stats.select("n", "mean", *(_idf(F.col("n"), F.col(f"d{k}")).alias(f"i{k}") for k in range(len(distinct)))).first()
-    idf = {w: row[f"i{k}"] for k, w in enumerate(distinct)}
-    if any(v is not None and v < 0 for v in idf.values()):
-        floor = EPSILON * mean_idf(held, "_tokens", row["n"])
-        idf = {w: floor if v < 0 else v for w, v in idf.items()}
+    terms = stored(vocabulary(held.select(hashed(F.col(field)).alias("tokens"))), "terms")
+    n, mean = terms.where("term is null").agg(F.coalesce(F.first("df"), F.lit(0)), F.first(F.col("tokens") / F.col("df"))).first()
+    found = {r["term"]: r["idf"] for r in terms.where(F.col("term").isin([h for _, h in words])).select("term", idf_of(F.lit(n), F.col("df")).alias("idf")).collect()}
+    if any(v < 0 for v in found.values()):
+        floor = EPSILON * mean_idf(terms, n)
+        found = {h: floor if v < 0 else v for h, v in found.items()}
+    # the row's length, and its tokens cut to the query's: all that a score needs
+    cut = held.withColumn("_tokens", X.tokens(F.col(field)))
+    cut = cut.withColumn("_cut", F.struct(F.size("_tokens").alias("n"), F.filter("_tokens", lambda t: t.isin(sorted({w for w, _ in words}))).alias("t"))).drop("_tokens")
     score = F.lit(0.0)
-    norm = K1 * (1 - B + B * F.size("_tokens") / F.lit(row["mean"]))
-    for w in words:
-        tf = F.size(F.filter("_tokens", _equal_to(w)))
-        score = score + F.lit(idf[w]) * tf * (K1 + 1) / (tf + norm)
-    out = held.withColumn("score", score).drop("_tokens").orderBy(F.desc("score"), F.col(key).asc_nulls_last())
+    norm = K1 * (1 - B + B * F.col("_cut.n") / F.lit(mean))
+    for w, h in words:
+        if h in found:
+            tf = F.size(F.filter("_cut.t", _equal_to(w)))
+            score = score + F.lit(found[h]) * tf * (K1 + 1) / (tf + norm)
+    out = cut.withColumn("score", score).drop("_cut").orderBy(F.desc("score"), F.col(key).asc_nulls_last())
     return out if limit is None else out.limit(limit)
 
 
-def mean_idf(held: DataFrame, tokens: str, n: int) -> float:
-    """The mean idf of all terms of the corpus; terms are told apart by 64-bit hashes."""
-    terms = held.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.agg(F.avg(_idf(F.lit(n), F.col("df")))).first()[0]
+def hashed(text: Column) -> Column:
+    """Tokens as 64-bit hashes, by which terms are told apart."""
+    return F.transform(X.tokens(text), lambda t: F.xxhash64(t))
 
 
-def bm25_batch(df: DataFrame, field: str, key: str, queries: DataFrame, query_key: str, query_text: str, limit: int = 3) -> DataFrame:
-    """(query_key, rank, key, score): the best rows for each of many queries.
+def vocabulary(held: DataFrame) -> DataFrame:
+    """(term, df, tokens) of rows (tokens, as hashes): the rows of each term; under a null term their number and all their tokens."""
+    each = held.select(F.size("tokens").alias("n"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("long"))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tokens"))
+
+
+def mean_idf(terms: DataFrame, n: int) -> float:
+    """The mean idf of a vocabulary (term, df)."""
+    return terms.where("term is not null").agg(F.avg(idf_of(F.lit(n), F.col("df")))).first()[0]
+
+
+#: Terms of all queries that go to the executors as one list (8 bytes each).
+WANTED = 1 << 20
+
+
+def term_counts(held: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(key, len, term, tf) of rows (key, tokens as hashes), for the terms (term) that are wanted alone.
 
-    The corpus is read for its number of rows and mean length, and once for the
-    terms that some query has: others are dropped before anything is shuffled.
-    The mean idf of all terms is computed only if a query has a term that is
-    in more than half of the rows.  Terms are told apart by 64-bit hashes.
+    A row's terms are counted within the row, so nothing is shuffled; beyond
+    WANTED terms they are joined.
     """
-    from pyspark.sql import Window
+    some = wanted.select("term").limit(WANTED + 1).toArrow().column(0).to_numpy()
+    if len(some) > WANTED:
+        met = held.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+        return met.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    shared = held.sparkSession.sparkContext.broadcast(np.sort(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            offsets = batch.column(1).offsets.to_numpy()
+            term = batch.column(1).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at = np.searchsorted(known, term)
+            fine = np.flatnonzero(at < len(known))
+            fine = fine[known[at[fine]] == term[fine]]
+            pair, n = np.unique(row[fine] * len(known) + at[fine], return_counts=True)
+            row, at = pair // max(1, len(known)), pair % max(1, len(known))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.diff(offsets)[row]), pa.array(known[at]), pa.array(n)], names=[key, "len", "term", "tf"])
+
+    return held.select(key, "tokens").mapInArrow(run, f"`{key}` {held.schema[key].dataType.simpleString()}, len int, term long, tf long")
 
-    def hashed(text: str) -> Column:
-        return F.transform(X.tokens(F.col(text)), lambda t: F.xxhash64(t))
 
-    held = df.select(key, hashed(field).alias("tokens")).where(F.size("tokens") > 0).withColumn("len", F.size("tokens"))
-    asked = queries.select(query_key, F.explode(hashed(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qf"))
+def bm25_batch(df: DataFrame, field: str, key: str, queries: DataFrame, query_key: str, query_text: str, limit: int = 3) -> DataFrame:
+    """(query_key, rank, key, score): the best rows for each of many queries.
+
+    The corpus is tokenised once, to hashes; rows are cut to the terms that some
+    query has before anything is shuffled.  The mean idf of all terms is
+    computed only if a query has a term that is in more than half of the rows.
+    Keys are unique.
+    """
+    held = df.select(key, hashed(F.col(field)).alias("tokens")).where(F.size("tokens") > 0)
+    held = stored(held, "tokens")
+    asked = queries.select(query_key, F.explode(hashed(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qf"))
     asked = stored(asked, "asked")
-    wanted = asked.select("term").distinct()
-    met = held.select(key, "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = stored(met.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
-    corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    tf = stored(term_counts(held, key, asked.select("term").distinct()), "terms")
+    corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
     if not corpus["n"]:
         return tf.join(asked, "term").select(query_key, F.lit(1).alias("rank"), key, F.lit(0.0).alias("score"))
-    idf = tf.groupBy("term").agg(_idf(F.lit(corpus["n"]), F.count(F.lit(1))).alias("idf"))
+    idf = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf_of(F.lit(corpus["n"]), F.col("df"))), "idf")
+    # a term that half of the rows have has as many rows of tf: its idf comes by broadcast
+    total = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    hot = idf.where(F.col("df") >= max(1, -(-total // HOT_KEYS))).select("term")
     if not idf.where("idf < 0").isEmpty():
-        floor = EPSILON * mean_idf(held, "tokens", corpus["n"])
+        floor = EPSILON * mean_idf(vocabulary(held), corpus["n"])
         idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(corpus["mean"]))
-    # a term that half of the rows have has as many rows of tf: its idf comes by broadcast
-    hot = hot_keys(tf, "term", tf.count())
-    part = attach(tf, idf, "term", hot).select(key, "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
+    part = attach(tf, idf.select("term", "idf"), "term", hot).select(key, "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = part.join(asked, "term").groupBy(query_key, key).agg(F.sum(F.col("part") * F.col("qf")).alias("score"))
     # the score is rounded before it orders, so that sums in another order rank alike
     scored = scored.withColumn("score", F.round("score", 6))
@@ -165,8 +207,6 @@ def search_store(df: DataFrame, store: str, query: str, method: str = "bm25", fi
 
 def search_all(stores: dict[str, DataFrame], query: str, method: str = "bm25", vector: Sequence[float] | None = None, limit: int = 10) -> DataFrame:
     """(store, place, rank, id, text): each store's best, stores in a fixed order (2.5 #10, 2.8 #1)."""
-    from pyspark.sql import Window
-
     unknown = set(stores) - set(STORES)
     if unknown:
         raise ValueError(f"unknown stores {sorted(unknown)}")
