@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 #: Share of the tokens to fold into a summary, and messages kept at the end.
 FOLD_SHARE, KEEP_LAST = 0.9, 5
 
 
 def running_total(df: DataFrame, owner: Sequence[str], position: str, size: Column, name: str = "running") -> DataFrame:
-    """``df`` with the running sum of ``size`` in order (2.6 #1)."""
-    order = Window.partitionBy(*owner).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(size).over(order))
+    """``df`` with the running sum of ``size`` in order (2.6 #1); a hot owner is in many tasks."""
+    return segments.running(df, owner, [position], size, name)
 
 
 def summarizer_cutoff(messages: DataFrame, owner: str, position: str, role: str, tokens: Column, desired: float = FOLD_SHARE, keep_last: int = KEEP_LAST) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import segments
+
 SESSION_GAP_S, BUCKET = 300, "15 minutes"
 
 
@@ -20,11 +22,8 @@ def micros(time: str) -> Column:
 
 
 def session_numbers(df: DataFrame, owner: Sequence[str], time: str, key: str, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """``df`` with session, from 1 for each owner; a gap of more than ``gap_s`` begins a new one."""
-    order = Window.partitionBy(*owner).orderBy(time, key)
-    gap = micros(time) - F.lag(micros(time)).over(order)
-    opens = F.when(gap.isNull() | (gap > gap_s * 1_000_000), 1).otherwise(0)
-    return df.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(order)).drop("_opens")
+    """``df`` with session, from 1 for each owner; a gap of more than ``gap_s`` begins a new one.  A hot owner is in many tasks."""
+    return segments.numbered(df, owner, [time, key], micros(time), gap_s * 1_000_000, "session")
 
 
 def sessions(df: DataFrame, owner: Sequence[str], time: str, key: str, app: str, words: Column | None = None, gap_s: int = SESSION_GAP_S) -> DataFrame:
@@ -57,4 +56,4 @@ def days(df: DataFrame, owner: Sequence[str], time: str, app: str) -> DataFrame:
 
 def with_previous(df: DataFrame, owner: Sequence[str], time: str, key: str, value: str) -> DataFrame:
     """``df`` with the value of the row before (2.6 #7)."""
-    return df.withColumn("previous", F.lag(value).over(Window.partitionBy(*owner).orderBy(time, key)))
+    return segments.previous(df, owner, [time, key], value, "previous")
