@@ -53,6 +53,14 @@ def process(frames: DataFrame, status: str, result: Column, codes: Codes = SIMPL
     )
 
 
+def transitions(codes: Codes) -> dict[tuple[int, str], int]:
+    """The state after an event, where a state allows it."""
+    return {
+        (codes.pending, "claim"): codes.reading, (codes.reading, "text"): codes.read, (codes.reading, "no_text"): codes.read, (codes.reading, "fail"): codes.failed,
+        (codes.read, "claim"): codes.describing, (codes.describing, "summary"): codes.described, (codes.describing, "fail"): codes.failed,
+    }
+
+
 def machine_stream(stream: DataFrame, key: str, event: str, place: str, codes: Codes = Codes()) -> DataFrame:
     """(key, status) after each trigger, from a stream of a frame's events: claim, text, no_text, summary, fail (2.9 #2, #3).
 
@@ -63,10 +71,7 @@ def machine_stream(stream: DataFrame, key: str, event: str, place: str, codes: C
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    steps = {
-        (codes.pending, "claim"): codes.reading, (codes.reading, "text"): codes.read, (codes.reading, "no_text"): codes.read, (codes.reading, "fail"): codes.failed,
-        (codes.read, "claim"): codes.describing, (codes.describing, "summary"): codes.described, (codes.describing, "fail"): codes.failed,
-    }
+    steps = transitions(codes)
     kind = dict(stream.dtypes)[key]
 
     def run(name, parts, state):
