@@ -36,7 +36,7 @@ def _register(sql: str | None = None):
 
 def _load() -> None:
     """The modules that register further queries here."""
-    from . import records, scalars, stores  # noqa: F401
+    from . import records, scalars, stores, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
