@@ -305,3 +305,31 @@ def test_screen_shots(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(out) == want
+
+
+def test_screen_stream_reads_in_tasks_and_repeats_nothing_after_a_restart(spark, tmp_path):
+    from tidemark.sources import screen
+
+    folder = tmp_path / "shots"
+    folder.mkdir()
+    out = []
+
+    def run(numbers):
+        for k in numbers:
+            (folder / f"{k}-0.png").write_bytes(png(4, 2))
+        stream = spark.readStream.format("screen").option("path", str(folder)).option("shots", "2").load()
+        query = stream.writeStream.foreachBatch(lambda df, n: out.append((df.rdd.getNumPartitions(), sorted(r["shot"] for r in df.collect()))))
+        query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    screen.register(spark)
+    run(range(1, 8))
+    run([])
+    run([8, 9, 12])
+    assert [shots for _, shots in out if shots] == [[1, 2, 3, 4, 5, 6, 7], [8, 9, 12]]
+    assert [n for n, shots in out if shots] == [4, 2]
+    # what is planned holds names, and no image
+    import pickle
+
+    planned = screen._Stream(str(folder), 2).partitions({"shot": 3}, {"shot": 9})
+    assert [[k for k, _ in p.shots] for p in planned] == [[4, 5], [6, 7], [8, 9]] and len(pickle.dumps(planned)) < 4000

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 _NAME = re.compile(r"(\d+)-(\d+)\.png")
 SCHEMA = "shot long, monitor int, width int, height int, image binary"
@@ -40,42 +40,58 @@ def grabbed(shot: int, monitors: list[tuple[int, Path]]) -> Iterator[tuple[int,
             yield shot, monitor, width, height, image
 
 
-class _Shot(InputPartition):
-    def __init__(self, shot: int) -> None:
-        self.value = shot
+class _Shots(InputPartition):
+    """Shots with their monitors' files: a task opens these and lists nothing."""
+
+    def __init__(self, found: dict[int, list[tuple[int, Path]]]) -> None:
+        self.shots = [(k, [(monitor, str(path)) for monitor, path in monitors]) for k, monitors in found.items()]
+
+
+def _parted(found: dict[int, list[tuple[int, Path]]], most: int) -> list[_Shots]:
+    names = list(found)
+    return [_Shots({k: found[k] for k in names[i : i + most]}) for i in range(0, len(names), most)]
+
+
+def _read(partition: _Shots) -> Iterator[tuple]:
+    for shot, monitors in partition.shots:
+        yield from grabbed(shot, [(monitor, Path(path)) for monitor, path in monitors])
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, most: int) -> None:
+        self.folder, self.most = folder, most
+
+    def partitions(self) -> list[_Shots]:
+        return _parted(shots(self.folder), self.most) or [_Shots({})]
 
-    def partitions(self) -> list[_Shot]:
-        return [_Shot(k) for k in shots(self.folder)] or [_Shot(-1)]
+    def read(self, partition: _Shots) -> Iterator[tuple]:
+        return _read(partition)
 
-    def read(self, partition: _Shot) -> Iterator[tuple]:
-        yield from grabbed(partition.value, shots(self.folder).get(partition.value, []))
 
+class _Stream(DataSourceStreamReader):
+    """Offsets are numbers of shots.  The driver lists names alone; images are read in tasks."""
 
-class _Stream(SimpleDataSourceStreamReader):
     def __init__(self, folder: str, most: int) -> None:
         self.folder, self.most = folder, most
 
     def initialOffset(self) -> dict:
         return {"shot": -1}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        """The shots after an offset, ``most`` at a time."""
-        new = [k for k in shots(self.folder) if k > start["shot"]][: self.most]
-        end = {"shot": new[-1] if new else start["shot"]}
-        return self.readBetweenOffsets(start, end), end
+    def latestOffset(self) -> dict:
+        return {"shot": max(shots(self.folder), default=-1)}
+
+    def partitions(self, start: dict, end: dict) -> list[_Shots]:
+        return _parted({k: m for k, m in shots(self.folder).items() if start["shot"] < k <= end["shot"]}, self.most)
+
+    def read(self, partition: _Shots) -> Iterator[tuple]:
+        return _read(partition)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows = [row for k, monitors in shots(self.folder).items() if start["shot"] < k <= end["shot"] for row in grabbed(k, monitors)]
-        return iter(rows)
+    def commit(self, end: dict) -> None:
+        """Shots stay where they are."""
 
 
 class ScreenSource(DataSource):
-    """Options: ``path``, the folder; ``shots``, most shots of a trigger."""
+    """Options: ``path``, a folder that driver and executors share; ``shots``, most shots of a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,9 +101,9 @@ class ScreenSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("shots", "10")))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(self.options["path"], int(self.options.get("shots", "10")))
 
 
