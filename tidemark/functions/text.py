@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .repair import repair
+
 #: ASCII punctuation, as in string.punctuation.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 MASK = "•" * 8
@@ -137,19 +139,19 @@ def sentence_chunks(text: Column, size: int = 300) -> Column:
 
 
 def json_object(text: Column, kind: str) -> Column:
-    """Tolerant parse of an object: as it is, then without what stands around its braces, then with trailing commas and single quotes mended (2.10).
+    """Tolerant parse of an object: as it is, then without what stands around its braces, then repaired (2.10; see ``repair.repaired``).
 
-    Null if none of the three reads.
+    Null where no brace opens.  The first two attempts stay in the JVM; Python
+    sees only texts that neither reads.
     """
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    mended = F.regexp_replace(inner, r",(\s*[}\]])", "$1")
-    mended = F.when(F.contains(mended, F.lit('"')), mended).otherwise(F.translate(mended, "'", '"'))
 
-    def parsed(c: Column) -> Column:
-        fits = F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{")
-        return F.when(fits, F.from_json(c, kind))
+    def plain(c: Column) -> Column:
+        return F.when(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), c)
 
-    return F.coalesce(parsed(text), parsed(inner), parsed(mended))
+    read = F.coalesce(plain(text), plain(inner))
+    broken = F.when(read.isNull() & F.contains(text, F.lit("{")), text)
+    return F.from_json(F.coalesce(read, repair(broken)), kind)
 
 
 def part_text(kind: Column, value: Column) -> Column:
