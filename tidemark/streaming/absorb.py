@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Ready items that trigger a batch; seconds after which a pending upload fails.
 BATCH, TIMEOUT_S = 20, 10
 
@@ -16,41 +17,37 @@ BATCH, TIMEOUT_S = 20, 10
 def batches(items: DataFrame, owner: str, arrival: str, position: str, least: int = BATCH) -> DataFrame:
     """``items`` with batch: arrivals (polls) in order; when ``least`` or more items wait, all of them form a batch.
 
-    Items that no batch took have a null batch.
+    Items that no batch took have a null batch.  Null owners and arrivals are
+    values like others, the first in order; ``position`` orders nothing here,
+    as a poll's items stay together.  Only the sizes of polls are gone through
+    in order; items get their poll's batch by a join.
     """
-    schema = items.withColumn("batch", F.lit(None).cast("long")).schema
+    poll = F.struct(F.col(owner).alias("owner"), F.col(arrival).alias("arrival"))
+    sizes = items.groupBy(poll.alias("poll")).agg(F.count(F.lit(1)).alias("size"))
+    named = sizes.select("poll", F.to_json(F.struct("poll.owner")).alias("owner"), "size")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # what waits: fewer than ``least`` items, and the poll that is being read
-        waiting, batch, now = 0, 0, None
-
-        def leave(number: int | None) -> pd.DataFrame:
-            rows = pd.concat(held)
-            held.clear()
-            return rows.assign(batch=pd.array([number] * len(rows), dtype="Int64"))
-
+        now, waiting, batch, open_polls = None, 0, 0, []
         for part in parts:
-            if not len(part):
-                continue
-            names, polls = (part[c].astype(object).where(part[c].notna(), None).to_numpy() for c in (owner, arrival))
-            change = np.flatnonzero((names[1:] != names[:-1]) | (polls[1:] != polls[:-1])) + 1
-            for lo, hi in zip([0, *change], [*change, len(part)], strict=True):
-                here = (names[lo], polls[lo])
-                if now is not None and here != now:
-                    if waiting >= least:
-                        batch, waiting = batch + 1, 0
-                        yield leave(batch)
-                    if here[0] != now[0]:
-                        if held:
-                            yield leave(None)
-                        batch, waiting = 0, 0
-                now = here
-                held.append(part.iloc[lo:hi])
-                waiting += hi - lo
-        if held:
-            yield leave(batch + 1 if waiting >= least else None)
-
-    return items.repartition(owner).sortWithinPartitions(owner, arrival, position).mapInPandas(run, schema)
+            done: list[tuple[int, int | None]] = []
+            for name, size, place in zip(part["owner"], part["size"], part["place"], strict=True):
+                if name != now:
+                    done += [(p, None) for p in open_polls]
+                    now, waiting, batch, open_polls = name, 0, 0, []
+                waiting += size
+                open_polls.append(place)
+                if waiting >= least:
+                    batch += 1
+                    done += [(p, batch) for p in open_polls]
+                    waiting, open_polls = 0, []
+            yield pd.DataFrame({"place": [p for p, _ in done], "batch": pd.array([b for _, b in done], dtype="Int64")})
+        yield pd.DataFrame({"place": open_polls, "batch": pd.array([None] * len(open_polls), dtype="Int64")})
+
+    placed = stored(named.withColumn("place", F.monotonically_increasing_id()), "polls")
+    ordered = placed.repartition("owner").sortWithinPartitions("owner", "poll").select("owner", "size", "place")
+    taken = ordered.mapInPandas(run, "place long, batch long")
+    of_poll = placed.select("place", "poll").join(taken, "place").select(F.col("poll").alias("_poll"), "batch")
+    return items.withColumn("_of", poll).join(of_poll, F.col("_of") == F.col("_poll")).drop("_of", "_poll")
 
 
 def absorb_stream(items: DataFrame, owner: str, key: str, position: str, least: int = BATCH) -> DataFrame:
