@@ -565,6 +565,18 @@ def test_near_duplicates_do_not_depend_on_common_grams(spark, monkeypatch):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_common_grams_are_seen_in_a_larger_corpus(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [prose(rng, 12) for _ in range(20)]
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 32)
+    rows = [(k, f"{prose(rng, 4)} {k} {lines[k % 20]} {k} {prose(rng, 4)}") for k in range(4000)]
+    shared = {g for line in lines for g in K.shingle_sets(*next(iter(K.chunks(pa.array([line], pa.large_string()))))[2:], 5)[0].tolist()}
+    found = jaccard.common_grams(table(spark, rows), 5)
+    assert len(shared & set(found.tolist())) > 0.9 * len(shared)
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 40)
+    assert len(jaccard.common_grams(table(spark, rows), 5)) <= 40
+
+
 def test_sparse_product_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
