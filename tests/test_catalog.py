@@ -36,3 +36,19 @@ def test_overlaps_are_of_all_turns(spark, data):
     brute = {(*x[:2], *y[:2]) for x, y in pairs if len(x[2] & y[2]) / min(len(x[2]), len(y[2])) > 0.3}
     got = {(r.a, r.turn_a, r.b, r.turn_b) for r in catalog.queries()["overlap_turns"](spark, data).collect()}
     assert got == brute and any(x[1] or x[3] for x in got)
+
+
+def test_overlaps_are_counted_in_tiles(spark, monkeypatch):
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity, "LEAST_ROWS", 16)
+    monkeypatch.setattr(similarity, "PAIRS", 50)
+    rows = [(k, " ".join(f"w{(k * k + j * (k % 7 + 1)) % 40}" for j in range(k % 12))) for k in range(150)] + [(900, None), (901, " "), (902, "W1 w1 w2"), (903, "w1 w2 alone")]
+    out = similarity.overlapping_blocks(spark.createDataFrame(rows, "k int, t string"), "k", "t")
+    sets = [(k, set((t or "").lower().split())) for k, t in rows]
+    pairs = ((x, y) for x in sets for y in sets if x[0] < y[0] and x[1] and y[1])
+    brute = {(x[0], y[0], s) for x, y in pairs if (s := len(x[1] & y[1]) / min(len(x[1]), len(y[1]))) > 0.3}
+    assert {tuple(r) for r in out.collect()} == brute and (902, 903, 1.0) in brute
+    assert out.count() == len(brute)
+    # no word meets another in a join: frequent words would make rows with the square of their blocks
+    assert "Join" not in out._jdf.queryExecution().toString()
