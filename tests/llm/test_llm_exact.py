@@ -213,6 +213,24 @@ def test_probes_follow_the_data(spark):
     assert sum(got[k] == v for k, v in want.items()) / len(want) >= 0.9
 
 
+def test_rows_that_the_index_does_not_fit_lose_nothing(spark):
+    """Queries beside the clusters that probes are measured on, and crowds much closer than what the codes tell apart."""
+    rng = np.random.default_rng(3)
+    x = 5 * rng.normal(size=(20, 16))[rng.integers(0, 20, 4000)] + 0.1 * rng.normal(size=(4000, 16))
+    crowd = rng.choice(4000, 900, replace=False)
+    x[crowd] = 40 + 1e-4 * rng.normal(size=(900, 16))
+    x[::200] = 10 * rng.normal(size=(20, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df).collect()}
+    want = {}
+    for q in range(0, 4000, 100):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        want |= {(q, k + 1): int(v) for k, v in enumerate(np.argsort(far)[:10])}
+    missed = [k for k, v in want.items() if got.get(k) != v]
+    assert not missed, len(missed)
+
+
 def test_vectors_beyond_single_precision(spark):
     df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e30, 1e25]), (2, [-1e30, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in ann.nearest(df).orderBy("rank").collect()] == [1, 3, 2]

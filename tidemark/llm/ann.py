@@ -1,9 +1,14 @@
-"""Approximate nearest neighbours: inverted file, product quantisation, exact reranking.
+"""Nearest neighbours: inverted file, product quantisation, exact reranking, and bounds that leave nothing out.
 
 Vectors belong to the list of their nearest coarse centroid and are coded by
 the product-quantised residual.  A query looks into its nearest lists, ranks
 their members by asymmetric distance tables (query against codes), and reranks
 the best by the exact distance on the original vectors.
+
+What that finds depends on how well centroids and codes fit the rows.  The
+triangle inequality makes up for it: a member is left out only if its distance
+by code less the error of its code is beyond the k-th best, and a list only if
+the distance to its centroid less the list's radius is.
 """
 
 from __future__ import annotations
@@ -92,11 +97,14 @@ class Index:
         needed = np.sort(np.concatenate(needed)) if needed else np.zeros(0, np.int64)
         return int(needed[min(len(needed) - 1, int(target * len(needed)))]) + 1 if len(needed) else 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = _nearest(x, self.centroids)
-        residual = x - self.centroids[at]
-        codes = [_nearest(residual[:, a:b], book) for (a, b), book in zip(self.cuts, self.books, strict=True)]
-        return at, np.stack(codes, axis=1).astype(np.uint8)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, code, distance to the list's centroid and error of the code of each row; the last two in double precision."""
+        at = _nearest(x.astype(np.float32), self.centroids)
+        residual = x.astype(np.float64) - self.centroids[at]
+        single = residual.astype(np.float32)
+        codes = [_nearest(single[:, a:b], book) for (a, b), book in zip(self.cuts, self.books, strict=True)]
+        told = np.concatenate([book[code] for code, book in zip(codes, self.books, strict=True)], axis=1)
+        return at, np.stack(codes, axis=1).astype(np.uint8), np.sqrt((residual**2).sum(axis=1)), np.sqrt(((residual - told) ** 2).sum(axis=1))
 
     def tables(self, queries: np.ndarray, at: int) -> list[np.ndarray]:
         """Squared distance of each query's residual to each code, by group of dimensions."""
@@ -117,57 +125,87 @@ def _encode(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, code = shared.value.encode(_matrix(batch.column(1)).astype(np.float32))
+                at, code, far, error = shared.value.encode(_matrix(batch.column(1)))
                 codes = pa.array([c.tobytes() for c in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int64()), codes, batch.column(1)], names=["vec_id", "list", "code", "vector"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(at, pa.int64()), codes, batch.column(1), pa.array(far), pa.array(error)],
+                    names=["vec_id", "list", "code", "vector", "far", "error"],
+                )
 
     return run
 
 
-def _probe(shared, sizes: np.ndarray, probes: int, k: int) -> Callable:
-    """Rows (vec_id, vector) to a row for each list that is looked into: the nearest, and more until k + 1 vectors are there."""
+def _probe(shared, sizes: np.ndarray, radius: np.ndarray, probes: int, k: int, rest: bool) -> Callable:
+    """Rows (vec_id, vector, bound) to a row for each list that is looked into.
+
+    First the nearest lists, and more until k + 1 vectors are there; then, as
+    ``rest``, the others that may hold a vector within ``bound``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = shared.value.centroids
-        half = (centers**2).sum(axis=1) / 2
+        half, wide = (centers**2).sum(axis=1) / 2, centers.astype(np.float64)
+        norm = np.sqrt((wide**2).sum(axis=1))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1)).astype(np.float32)
+            given = _matrix(batch.column(1))
+            x = given.astype(np.float32)
             order = np.argsort(half - x @ centers.T, axis=1, kind="stable")
             before = np.cumsum(sizes[order], axis=1) - sizes[order]
             row, place = np.nonzero((np.arange(len(centers)) < probes) | (before < k + 1))
+            at = order[row, place]
+            if rest:
+                look = np.tile(sizes > 0, (len(x), 1))
+                look[row, at] = False
+                x, bound = given.astype(np.float64), batch.column(2).to_numpy()
+                own = np.sqrt((x**2).sum(axis=1))
+                away = np.sqrt(np.maximum(0, own[:, None] ** 2 - 2 * x @ wide.T + norm**2))
+                # what is not known to be beyond the bound is looked into
+                beyond = away - radius > bound[:, None] + 1e-6 * (own[:, None] + norm + radius)
+                row, at = np.nonzero(look & ~beyond)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(order[row, place], pa.int64()), batch.column(1).take(pa.array(row))],
-                names=["vec_id", "list", "vector"],
+                [batch.column(0).take(pa.array(row)), pa.array(at, pa.int64()), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))],
+                names=["vec_id", "list", "vector", "bound"],
             )
 
     return run
 
 
 def _search(shared, k: int, rerank: int) -> Callable:
-    """Rows (block, is_query, list, vec_id, code, vector), queries of a block first, to its nearest (query_id, vec_id, score)."""
+    """Rows (block, is_query, list, vec_id, code, vector, bound), of a block the queries or the members first, to its nearest (query_id, vec_id, score).
 
-    def block(at: int, q_id, q, m_id, code, m) -> pa.RecordBatch:
+    ``bound`` is the error of a member's code, and of a query the distance beyond which nothing is wanted.
+    """
+
+    def block(at: int, q_id, q, bound, m_id, code, m, error) -> pa.RecordBatch:
         index = shared.value
         order = np.argsort(m_id, kind="stable")
-        m_id, code, m = m_id[order], code[order], m[order]
+        m_id, code, m, error = m_id[order], code[order], m[order].astype(np.float64), error[order]
         out_q, out_m, out_s = [], [], []
+
+        def exact(which: np.ndarray, vector: np.ndarray) -> np.ndarray:
+            gap = m[which] - vector
+            return np.sqrt((gap * gap).sum(axis=1))
+
         for lo in range(0, len(q_id), 64):
-            ids, x = q_id[lo : lo + 64], q[lo : lo + 64]
-            far = np.zeros((len(ids), len(m_id)), np.float32)
-            for s, table in enumerate(index.tables(x.astype(np.float32), at)):
+            ids, x = q_id[lo : lo + 64], q[lo : lo + 64].astype(np.float64)
+            far = np.zeros((len(ids), len(m_id)))
+            for s, table in enumerate(index.tables(x, at)):
                 far += table[:, code[:, s]]
-            own = ids[:, None] == m_id[None, :]
-            # beyond float32 a distance is not known here; such members come last, but they come
-            far[~np.isfinite(far)] = np.finfo(np.float32).max
-            far[own] = np.inf
+            far = np.sqrt(np.maximum(far, 0))
+            apart = np.sqrt(((x - index.centroids[at]) ** 2).sum(axis=1))
             for row, (name, vector) in enumerate(zip(ids, x, strict=True)):
-                # members stand by id, so a stable order breaks ties by the smaller one
-                best = np.argsort(far[row], kind="stable")[:rerank] if len(m_id) > rerank else np.arange(len(m_id))
-                best = best[~own[row][best]]
-                gap = m[best].astype(np.float64) - vector.astype(np.float64)
-                score = np.sqrt((gap * gap).sum(axis=1))
+                others = m_id != name
+                # what is not a number here comes last, but it comes
+                best = np.argsort(np.where(others, far[row], np.inf), kind="stable")[:rerank]
+                best = best[others[best]]
+                score = exact(best, vector)
+                limit = min(bound[lo + row], np.partition(score, k - 1)[k - 1] if len(score) >= k else np.inf)
+                more = others & ~(far[row] - error > limit + 1e-6 * (limit + apart[row] + far[row]))
+                more[best] = False
+                more = np.flatnonzero(more)
+                best, score = np.concatenate((best, more)), np.concatenate((score, exact(more, vector)))
                 first = np.lexsort((m_id[best], score))[:k]
                 out_q.append(np.full(len(first), name))
                 out_m.append(m_id[best][first])
@@ -182,12 +220,12 @@ def _search(shared, k: int, rerank: int) -> Callable:
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             asks = rows.column("is_query").to_numpy().astype(bool)
-            ids = rows.column("vec_id").to_numpy()
+            ids, bound = rows.column("vec_id").to_numpy(), rows.column("bound").to_numpy()
             vectors = _matrix(rows.column("vector").combine_chunks())
             if asks.any() and not asks.all():
                 code = np.frombuffer(b"".join(rows.column("code").filter(pa.array(~asks)).to_pylist()), np.uint8)
                 at = rows.column("list")[0].as_py()
-                yield block(at, ids[asks], vectors[asks], ids[~asks], code.reshape(int((~asks).sum()), -1), vectors[~asks])
+                yield block(at, ids[asks], vectors[asks], bound[asks], ids[~asks], code.reshape(int((~asks).sum()), -1), vectors[~asks], bound[~asks])
 
         for batch in batches:
             name = batch.column(0).to_numpy()
@@ -227,7 +265,9 @@ def nearest(
     Queries are the rows of ``queries`` (same columns), by default those whose
     id is divisible by ``every``; a query's own id is no candidate.  As many
     lists are probed as hold ``target`` of the true neighbours within the
-    sample, or ``probe_share`` of them where it is given.  ``exact`` compares
+    sample, or ``probe_share`` of them where it is given; after them, those that
+    may hold a nearer vector by their radius, so that the result does not
+    depend on how well the index fits the rows.  ``exact`` compares
     each query with every vector instead.  Vectors
     that are null, zero, or hold a null or non-finite component take no part,
     nor rows without an id; of several vectors of an id the smallest (in array
@@ -268,27 +308,38 @@ def nearest(
         probes = max(LEAST_PROBES, index.probes(sample, k, target))
 
     kind = clean.schema["vector"].dataType.simpleString()
-    coded = store(clean.mapInArrow(_encode(shared), f"vec_id long, list long, code binary, vector {kind}"), "coded")
-    sizes = np.zeros(lists, np.int64)
-    for row in coded.groupBy("list").count().collect():  # at most MAX_LISTS rows
-        sizes[row["list"]] = row["count"]
-    looks = asked.select("vec_id", "vector").mapInArrow(_probe(shared, sizes, probes, k), f"vec_id long, list long, vector {kind}")
-
-    # A list's members are dealt into parts, its queries into slices; each slice meets each part.
-    parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    slices = np.maximum(1, np.ceil(sizes / max(1, rows) * probes * asked.count() / BLOCK_QUERIES).astype(np.int64))
-    shape = spark.createDataFrame(pa.table({"list": np.arange(lists), "parts": parts, "slices": slices}))
-    members = coded.join(F.broadcast(shape), "list").select(
-        F.lit(0).alias("is_query"), "list", "vec_id", "code", "vector", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
-    )
-    probing = looks.join(F.broadcast(shape), "list").select(
-        F.lit(1).alias("is_query"), "list", "vec_id", F.lit(None).cast("binary").alias("code"), "vector",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), F.col("slices")).alias("slice"),
-    )
-    both = members.unionByName(probing).withColumn("block", F.xxhash64("list", "part", "slice"))
-    both = both.select("block", "is_query", "list", "vec_id", "code", "vector").repartition("block").sortWithinPartitions("block")
-    found = both.mapInArrow(_search(shared, k, rerank), "query_id long, vec_id long, score double")
+    coded = store(clean.mapInArrow(_encode(shared), f"vec_id long, list long, code binary, vector {kind}, far double, error double"), "coded")
+    sizes, radius = np.zeros(lists, np.int64), np.zeros(lists)
+    for row in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # at most MAX_LISTS rows
+        sizes[row["list"]], radius[row["list"]] = row["n"], row["far"]
+    columns = ["block", "is_query", "list", "vec_id", "code", "vector", "bound"]
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def found(asked: DataFrame, rest: bool) -> DataFrame:
+        """The best of the lists that the rows (vec_id, vector, bound) look into."""
+        looks = store(asked.mapInArrow(_probe(shared, sizes, radius, probes, k, rest), f"vec_id long, list long, vector {kind}, bound double"), "looks")
+        # A list's members are dealt into parts, its queries into slices; each slice meets each part.
+        parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
+        slices = np.zeros(lists, np.int64)
+        for row in looks.groupBy("list").count().collect():
+            slices[row["list"]] = -(-row["count"] // BLOCK_QUERIES)
+        shape = spark.createDataFrame(pa.table({"list": np.arange(lists), "parts": parts, "slices": slices})).where("slices > 0")
+        members = coded.join(F.broadcast(shape), "list").select(
+            F.lit(0).alias("is_query"), "list", "vec_id", "code", "vector", F.col("error").alias("bound"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
+        )
+        probing = looks.join(F.broadcast(shape), "list").select(
+            F.lit(1).alias("is_query"), "list", "vec_id", F.lit(None).cast("binary").alias("code"), "vector", "bound",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), F.col("slices")).alias("slice"),
+        )
+        both = members.unionByName(probing).withColumn("block", F.xxhash64("list", "part", "slice"))
+        both = both.select(*columns).repartition("block").sortWithinPartitions("block")
+        each = both.mapInArrow(_search(shared, k, rerank), "query_id long, vec_id long, score double")
+        return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    endless = F.lit(float("inf"))
+    near = store(found(asked.select("vec_id", "vector", endless.alias("bound")), False), "near")
+    bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    again = asked.join(bound, "vec_id", "left").select("vec_id", "vector", F.coalesce("bound", endless).alias("bound"))
+    ranked = near.unionByName(found(again, True)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
