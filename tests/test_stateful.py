@@ -75,6 +75,47 @@ def test_late_rows_are_counted_and_closed_windows_leave(spark, tmp_path):
     assert max(held) <= 2 * 2 * 14 and held[-1] <= 2 * 2 * (len(want) - len(closed))
 
 
+def test_calls_to_the_store_do_not_grow_with_the_windows():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.value, self.timers = 0, None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.update(None)
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, windows = Handle(), stateful._Windows(10)
+    windows.init(handle)
+    assert not list(windows.handleInputRows(("a",), iter([pd.DataFrame({"at_ms": range(2000)})]), At(-1)))
+    (late,) = windows.handleInputRows(("a",), iter([pd.DataFrame({"at_ms": [3, 4, 25, 1999]})]), At(20))
+    assert late["n"].tolist() == [2] and late["late"].all()
+    (out,) = windows.handleExpiredTimer(("a",), At(1000), At(10))
+    assert out["start_ms"].tolist() == [*range(0, 1000, 10)] and out["n"].tolist() == [10, 10, 11] + [10] * 97 and not out["late"].any()
+    assert handle.timers == [10, 1010] and handle.calls <= 10
+    (out,) = windows.handleExpiredTimer(("a",), At(2000), At(1010))
+    assert len(out) == 100 and out["n"].sum() == 1001 and handle.value is None
+    assert not list(windows.handleExpiredTimer(("a",), At(2000), At(2000)))
+
+
 def _until():
     """Work that fails until an attempt; made here, as workers know no test module."""
 
