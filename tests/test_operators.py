@@ -192,6 +192,48 @@ def test_similar_pairs_equal_a_loop(spark):
     assert got == want
 
 
+def _near_sets(n):
+    """Texts of 0 to 60 words in near copies, of words that most, some and single texts have."""
+    out = []
+    for k in range(n):
+        base = [f"w{(k // 6 * 31 + j * j) % (40 + k // 6 * 9)}" for j in range(k // 6 * 7 % 60)]
+        out.append((k, " ".join(base[: max(0, len(base) - k % 6 // 2)] + [f"own{k}"] * (k % 3))))
+    return [*out, (n, None), (n + 1, " "), (n + 2, "One"), (n + 3, "one ONE")]
+
+
+@pytest.mark.parametrize("common, part", [(1 << 20, 1 << 24), (10, 300), (0, 40)])
+def test_similar_pairs_are_verified_in_tiles(spark, monkeypatch, common, part):
+    monkeypatch.setattr(similarity, "COMMON", common)
+    monkeypatch.setattr(similarity, "PART_WORDS", part)
+    rows = _near_sets(240)
+    held = {}
+    for k, t in rows:
+        if words := frozenset((t or "").lower().split()):
+            held.setdefault(words, []).append(k)
+    sets = sorted((min(k), w, len(k)) for w, k in held.items())
+    want = {(a, b, s, n, m) for i, (a, v, n) in enumerate(sets) for b, w, m in sets[i + 1 :] if (s := len(v & w) / len(v | w)) > 0.7}
+    df = spark.createDataFrame(rows, "id int, t string").repartition(5)
+    out = similarity.similar_pairs(similarity.word_sets(df, "id", F.col("t")))
+    got = [tuple(r) for r in out.select("a", "b", "similarity", "copies_a", "copies_b").collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+    # what only meets is shuffled without its words, which come once for each tile
+    assert not [line for line in out._jdf.queryExecution().toString().split("\n") if "Join" in line and "words" in line]
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "words" not in joined and joined.count("Join") == 1
+
+
+def test_ranks_are_packed_and_unpacked():
+    rng = np.random.default_rng(4)
+    for top in (3, 200, 1 << 20, (1 << 31) - 1):
+        rows = [np.unique(rng.integers(0, top, int(rng.integers(0, 50)))) for _ in range(40)] + [np.empty(0, np.int64), np.array([0]), np.array([top])]
+        size = np.array([len(r) for r in rows])
+        packed = similarity._packed(size, np.concatenate(rows).astype(np.int64))
+        for lo, hi in ((0, len(rows)), (7, 30), (40, 43), (5, 5)):
+            got_size, got = similarity._unpacked(packed.slice(lo, hi - lo))
+            assert got_size.tolist() == size[lo:hi].tolist()
+            assert got.tolist() == [v for r in rows[lo:hi] for v in r.tolist()]
+
+
 def keep_loop(times, diffs, force):
     out, last = [], None
     for t, d in zip(times, diffs, strict=True):
