@@ -222,6 +222,18 @@ def test_similar_pairs_are_verified_in_tiles(spark, monkeypatch, common, part):
     assert "words" not in joined and joined.count("Join") == 1
 
 
+def test_a_report_counts_pairs_without_their_words(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PART_WORDS", 200)
+    rows = _near_sets(120)
+    sets = [set((t or "").lower().split()) for _, t in rows]
+    shares = [len(v & w) / len(v | w) for i, v in enumerate(sets) for w in sets[i + 1 :] if v and w]
+    want = {"duplicate": sum(s > 0.9 for s in shares), "similar": sum(0.7 < s <= 0.9 for s in shares)}
+    report = similarity.redundancy_report(spark.createDataFrame(rows, "id int, t string"), "id", F.col("t"))
+    assert dict(values(report, "kind", "pairs")) == want and min(want.values()) > 0
+    assert not [line for line in report._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "words" in line]
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_ranks_are_packed_and_unpacked():
     rng = np.random.default_rng(4)
     for top in (3, 200, 1 << 20, (1 << 31) - 1):
