@@ -72,6 +72,21 @@ def test_index_equals_okapi_by_hand(spark, small):
         assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(have, want, strict=True))
 
 
+def test_queries_are_scored_in_parts_without_a_row_for_each_posting(spark, small, monkeypatch):
+    monkeypatch.setattr(postings, "QUERIES", 2)
+    rng = random.Random(8)
+    rows = _corpus(rng, 9000)
+    index = postings.Postings.create(spark.createDataFrame(rows, "id long, text string").repartition(3, "id"), "text", "id", _path(spark))
+    asked = [" ".join(rng.choice([f"w{rng.randrange(300)}", "the", "and"]) for _ in range(rng.randrange(1, 5))) for _ in range(9)]
+    out = index.search(spark.createDataFrame([*((f"q{k}", t) for k, t in enumerate(asked)), (None, "the")], "q string, words string"), "q", "words", 5)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["key"]))
+    assert {q: sorted(v) for q, v in got.items()} == {f"q{k}": [x[:2] for x in okapi(rows, t, 5)] for k, t in enumerate(asked)}
+    # a row for each query and posting would be grouped in memory that grows with both
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_index_reads_only_the_terms_of_the_query(spark, tmp_path):
     df = spark.createDataFrame(_corpus(random.Random(2), 500), "id long, text string")
     index = postings.Postings.create(df, "text", "id", f"file://{tmp_path}/index")

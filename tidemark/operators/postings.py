@@ -26,6 +26,8 @@ from .search import EPSILON, K1, B, hashed, idf_of
 RANGE, BUCKETS, GROUP_BYTES = 4096, 64, 1 << 20
 #: Ranges of a query that are scored first; terms of all queries that are pushed to the scan as a list, and rows of them that are broadcast.
 SEEDS, LISTED, BROADCAST_ROWS = 4, 10_000, 200_000
+#: Queries whose scores of a range are held at once, about (36 KB each).
+QUERIES = 1024
 #: More than rounding can move a score; scores are rounded to so many digits before they order rows.
 SLACK, DIGITS = 1e-5, 6
 
@@ -82,6 +84,57 @@ def _part(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
+def _scorer(limit: int, mean: float):
+    """Rows (part, segment, range, side, q, rows, counts, lengths, qs, weights) sorted by the first four to (q, segment, range, row, score): each query's best rows of a range.
+
+    Side 0 names the queries of a range, side 1 has its postings with the
+    queries that ask for their term.  All rows that rounding may put level with
+    the ``limit``-th stay.
+    """
+
+    def best(now: tuple, queries: list[int], score: np.ndarray, hit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for q, mine, met in zip(queries, score, hit, strict=True):
+            row = np.flatnonzero(met)
+            s = mine[row]
+            if len(row) > limit:
+                fine = s >= np.partition(s, -limit)[-limit] - 2 * 10.0**-DIGITS
+                row, s = row[fine], s[fine]
+            if len(row):
+                columns = [pa.array(np.full(len(row), q)), pa.array([now[1]] * len(row), pa.string()), pa.array(np.full(len(row), now[2])), pa.array(row.astype(np.int32)), pa.array(s)]
+                yield pa.RecordBatch.from_arrays(columns, names=["q", "segment", "range", "row", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries, score, hit = None, [], None, None
+        for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            side, q = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[5:]]
+            for i, place in enumerate(places):
+                if place != now:
+                    if score is not None:
+                        yield from best(now, queries, score, hit)
+                    now, queries, score = place, [], None
+                if side[i] == 0:
+                    queries.append(q[i])
+                    continue
+                if not queries:  # others ask for the range
+                    continue
+                if score is None:
+                    queries.sort()
+                    names = np.array(queries, np.int64)
+                    score, hit = np.zeros((len(queries), RANGE)), np.zeros((len(queries), RANGE), bool)
+                row, tf, length, qs, weight = (values[offsets[i] : offsets[i + 1]] for offsets, values in lists)
+                at = np.minimum(np.searchsorted(names, qs), len(names) - 1)
+                mine = names[at] == qs
+                spot = np.ix_(at[mine], row)
+                score[spot] += np.outer(weight[mine], tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
+                hit[spot] = True
+        if score is not None:
+            yield from best(now, queries, score, hit)
+
+    return run
+
+
 @dataclass
 class Postings:
     """An index of one text field in a folder that driver and executors share; see ``create`` and ``open``."""
@@ -159,7 +212,9 @@ class Postings:
         segments = self._segments()
         names, docs, tokens = [s[0] for s in segments], sum(s[1] for s in segments), sum(s[2] for s in segments)
         words = queries.select(F.col(query_key).alias("q"), F.explode(hashed(F.col(query_text))).alias("term"))
-        asked = stored(words.groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf")), "asked")
+        words = stored(words.where("q is not null").groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf")), "words")
+        names_of = stored(words.select("q").distinct().select(F.monotonically_increasing_id().alias("number"), "q"), "queries")
+        asked = stored(words.join(names_of, "q").select(F.col("number").alias("q"), "term", "qf"), "asked")
         mean = tokens / max(1, docs)
         mine = self.of_terms(names, asked)
         place = ["segment", "range"]
@@ -176,13 +231,20 @@ class Postings:
         first = Window.partitionBy("q").orderBy(F.desc("bound"), *place)
         seeds = stored(bounds.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SEEDS).select("q", *place), "seeds")
 
+        parts = -(-names_of.count() // QUERIES) or 1
+        part = F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part")
+        askers = stored(weights.groupBy(part, "term").agg(F.collect_list(F.struct("q", "weight")).alias("x")).select("part", "term", F.col("x.q").alias("qs"), F.col("x.weight").alias("weights")), "askers")
+        askers = F.broadcast(askers) if few else askers
+
         def scored(pairs: DataFrame) -> DataFrame:
-            """(q, segment, range, row, score) of the ranges in ``pairs``."""
+            """(q, segment, range, row, score) of the best rows of each of the ranges in ``pairs``: a posting is shuffled once, however many queries ask for its term."""
             wanted = mine.join(F.broadcast(pairs.select(*place).distinct()) if few_seeds(pairs) else pairs.select(*place).distinct(), place, "left_semi")
-            met = wanted.join(weights, "term").join(pairs, ["q", *place])
-            each = met.select("q", *place, "weight", F.explode(F.arrays_zip("rows", "counts", "lengths")).alias("x"))
-            part = F.col("weight") * _part(F.col("x.counts"), F.col("x.lengths"), mean)
-            return each.groupBy("q", *place, F.col("x.rows").alias("row")).agg(F.round(F.sum(part), DIGITS).alias("score"))
+            met = wanted.join(askers, "term").select("part", *place, F.lit(1).alias("side"), "rows", "counts", "lengths", "qs", "weights")
+            named = pairs.select(part, *place, F.lit(0).alias("side"), "q")
+            order = ["part", *place, "side", "q", "rows", "counts", "lengths", "qs", "weights"]
+            dealt = named.unionByName(met, allowMissingColumns=True).select(order).repartition("part", *place).sortWithinPartitions("part", *place, "side")
+            each = dealt.mapInArrow(_scorer(limit, mean), "q long, segment string, range long, row int, score double")
+            return each.withColumn("score", F.round("score", DIGITS))
 
         def few_seeds(pairs: DataFrame) -> bool:
             return pairs is seeds and seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -196,5 +258,5 @@ class Postings:
         top = found.withColumn("at", F.rank().over(best)).where(F.col("at") <= limit).drop("at")
         keys = self._read("docs", names, f"range long, row int, key {self.key_type}, length int").select(*place, "row", "key")
         order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("key").asc_nulls_last())
-        out = top.join(keys, [*place, "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-        return out.select(F.col("q").alias(query_key), "rank", "key", "score")
+        out = top.join(keys, [*place, "row"]).join(names_of.select(F.col("number").alias("q"), F.col("q").alias("name")), "q").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        return out.select(F.col("name").alias(query_key), "rank", "key", "score")
