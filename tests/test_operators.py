@@ -234,6 +234,22 @@ def test_a_report_counts_pairs_without_their_words(spark, monkeypatch):
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_a_report_shuffles_neither_meetings_nor_texts_twice(spark, monkeypatch):
+    import bench
+
+    monkeypatch.setattr(similarity, "PART_WORDS", 6000)
+    rng = random.Random(3)
+    texts = [" ".join(f"word{k}" for k in rng.sample(range(120), 60)) for _ in range(600)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    before = set(bench.stages(spark))
+    report = similarity.redundancy_report(df, "id", F.col("t"))
+    assert dict(values(report, "kind", "pairs")) == {"duplicate": 50}
+    # all pairs meet by some word of their prefixes; a set goes packed to where it is grouped, and to each of 7 parts of its size at most
+    assert sum(v[0] for k, v in bench.stages(spark).items() if k not in before) < len(texts) * 64 * (2 + 7)
+    assert "split" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ranks_are_packed_and_unpacked():
     rng = np.random.default_rng(4)
     for top in (3, 200, 1 << 20, (1 << 31) - 1):
