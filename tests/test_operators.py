@@ -250,6 +250,20 @@ def test_a_report_shuffles_neither_meetings_nor_texts_twice(spark, monkeypatch):
     assert "split" not in report._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_more_parts_than_pass_by_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PART_WORDS", 100)
+    monkeypatch.setattr(similarity, "NEAR", 2)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{w}" for w in rng.sample(range(14), rng.randint(9, 12))) for _ in range(150)]
+    reps = {}
+    for k, t in enumerate(texts):
+        reps.setdefault(frozenset(t.split()), k)
+    want = {(min(i, j), max(i, j)) for a, i in reps.items() for b, j in reps.items() if i < j and len(a & b) / len(a | b) > 0.7}
+    sets = similarity.word_sets(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", F.col("t"))
+    got = [(r["a"], r["b"]) for r in similarity.similar_pairs(sets).collect()]
+    assert len(similarity._edges(sets)) > 8 and len(got) == len(want) > 100 and set(got) == want
+
+
 def test_ranks_are_packed_and_unpacked():
     rng = np.random.default_rng(4)
     for top in (3, 200, 1 << 20, (1 << 31) - 1):
