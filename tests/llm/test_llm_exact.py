@@ -595,6 +595,29 @@ def test_common_grams_are_seen_in_a_larger_corpus(spark, monkeypatch):
     assert len(jaccard.common_grams(table(spark, rows), 5)) <= 40
 
 
+def test_short_rows_with_a_frequent_line_do_not_meet_by_it():
+    rng = np.random.default_rng(4)
+    line = rng.integers(0, 1 << 60, 16).astype(np.uint64)
+    sets = [np.unique(np.concatenate((line, rng.integers(0, 1 << 60, 16).astype(np.uint64)))) for _ in range(300)]
+    index = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    sig, row = jaccard.signatures(np.concatenate(sets), index, 80, np.sort(line), np.full(16, 300, np.int32))
+    assert set(row.tolist()) == set(range(300))
+    assert len(np.unique(sig)) == len(sig)  # half of each row is its own, so none is a candidate of another
+
+
+def test_rows_of_frequent_n_grams_alone_share_a_signature():
+    rng = np.random.default_rng(6)
+    for size in (1, 3, 17, 60, 400):
+        base = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        sets = [np.sort(rng.permutation(base)[: -(-size * 9 // 10)]) for _ in range(8)]
+        index = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        sig, row = jaccard.signatures(np.concatenate(sets), index, 80, base, rng.integers(2, 9, len(base)).astype(np.int32))
+        for a in range(8):
+            for b in range(a):
+                linked = 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+                assert not linked or set(sig[row == a]) & set(sig[row == b])
+
+
 def test_sparse_product_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
