@@ -52,3 +52,19 @@ def test_overlaps_are_counted_in_tiles(spark, monkeypatch):
     assert out.count() == len(brute)
     # no word meets another in a join: frequent words would make rows with the square of their blocks
     assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_overlaps_shuffle_a_block_once(spark, monkeypatch):
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity, "PART_ROWS", 10)
+    held, stored = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: held.append(stored(df, name)) or held[-1])
+    rows = [(k, " ".join(f"w{(k * k + j * 3) % 50}" for j in range(k % 9))) for k in range(95)] + [(900, None)]
+    out = similarity.overlapping_blocks(spark.createDataFrame(rows, "k int, t string"), "k", "t")
+    sets = [(k, set((t or "").split())) for k, t in rows]
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got) == sorted((a, b, s) for a, x in sets for b, y in sets if a < b and x and y and (s := len(x & y) / min(len(x), len(y))) > 0.3)
+    # ten parts, and no copy of a block for each
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert held[0].count() == 10 and held[0].select("part").distinct().count() == 10
